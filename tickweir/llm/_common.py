@@ -79,9 +79,10 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def unit_hash(key: Column, salt: str) -> Column:
-    """A number in [0, 1) from 32 bits of an MD5, the same in any engine."""
-    return F.conv(F.substring(F.md5(F.concat(key, F.lit(salt))), 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)
+def unit_hash(key: str, salt: str) -> Column:
+    """A number in [0, 1) from 32 bits of an MD5 of a column and a salt, the same in any engine."""
+    text = F.concat(F.coalesce(F.col(key).cast("string"), F.lit("")), F.lit(salt))
+    return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)
 
 
 ship(__name__)
