@@ -1,10 +1,49 @@
-"""The corpus pipeline: toxicity, line dedup, near-duplicate removal, decontamination, mixing."""
+"""The corpus pipeline: documents through five stages, each of which works on all that the one before it kept."""
 
 from __future__ import annotations
 
-STAGES = []
+from pyspark.sql import DataFrame, SparkSession
+
+from tickweir.llm import decontam, linededup, mixing, setsketch, toxicity
+from tickweir.llm._common import pick, shared_dir, table
+
+
+def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier chain calls toxic go."""
+    return toxicity.reject_toxic(docs, table(spark, sf_dir, "labels"))
+
+
+def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Lines that an earlier document or line holds go, and documents that lose all their lines."""
+    return linededup.drop_repeated_lines(docs)
+
+
+def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates stays."""
+    return setsketch.one_of_each(docs)
+
+
+def leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Benchmark passages are cut; documents that are half benchmark go."""
+    return decontam.decontaminate(docs, table(spark, sf_dir, "benchmark"))
+
+
+def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """A sample with the target shares of sources, languages and topics."""
+    return mixing.mix(docs)
+
+
+STAGES = [("toxicity", toxic), ("line dedup", lines), ("near-duplicate removal", near), ("decontamination", leaks), ("mixing", mixed)]
+
+#: The toxicity stage is a trained model, which SQL can't express; the tests hold run() against a brute-force version.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over the documents of sf_dir; each stage's result is written to the shared folder and read again."""
+    docs = pick(table(spark, sf_dir, "documents"), "doc_id", "text", "lang", "source", "n_chars")
+    at = shared_dir(spark, "pipeline")
+    for i, (_, stage) in enumerate(STAGES):
+        stage(spark, docs, sf_dir).write.parquet(f"{at}/{i}")
+        docs = spark.read.parquet(f"{at}/{i}")
+    return docs

@@ -64,11 +64,14 @@ def materialise(df: DataFrame, what: str) -> DataFrame:
     """Cut the lineage: write to the shared folder and read back. The rows outlive any executor."""
     path = shared_dir(df.sparkSession, what)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    held = df.sparkSession.read.schema(df.schema).parquet(path)
+    held._shared = path
+    return held
 
 
-def discard(path: str) -> None:
-    fs, p = filesystem(path)
+def discard(table: DataFrame) -> None:
+    """Delete what `materialise` wrote, once nothing reads it any more."""
+    fs, p = filesystem(table._shared)
     if isinstance(fs, pafs.LocalFileSystem):
         shutil.rmtree(p, ignore_errors=True)
     else:

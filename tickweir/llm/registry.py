@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tickweir.llm import bpe, decontam, linededup, mixing, sql, suffix, superkmer, warc
+from tickweir.llm import bpe, decontam, linededup, mixing, quality, setsketch, sql, suffix, superkmer, toxicity, warc
 from tickweir.llm._common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -21,6 +21,9 @@ def queries() -> dict[str, Query]:
         "op5_contaminated": lambda s, d: decontam.contaminated(table(s, d, "documents"), table(s, d, "benchmark")),
         "op6_line_bitmaps": lambda s, d: linededup.line_bitmaps(table(s, d, "documents")),
         "op7_substring_windows": lambda s, d: superkmer.repeated_windows(table(s, d, "documents")),
+        "op8_quality": lambda s, d: quality.quality(table(s, d, "documents"), table(s, d, "labels")),
+        "op9_toxicity": lambda s, d: toxicity.scores(table(s, d, "documents"), table(s, d, "labels")),
+        "op10_near_duplicates": lambda s, d: setsketch.near_duplicates(table(s, d, "documents")),
     }
 
 
