@@ -19,7 +19,7 @@ from tickweir.llm._common import ship
 from tickweir.llm._text import U64, Words, blocks, gather, gram_hash, ids_of, mix, span_hash
 
 LOW = U64((1 << 24) - 1)
-FLUSH = 24 << 20  # packed bytes that a task holds before it hands them on
+FLUSH = 8 << 20  # packed bytes that a task holds before it hands them on
 NO_DOC = np.iinfo(np.int64).max
 PACKED = "bucket int, meta binary, data binary"
 FOUND = "doc_id bigint, start bigint, n bigint, copies bigint, first_doc_id bigint"
@@ -129,17 +129,21 @@ class Bucket:
         self.word = word0[:-1][self.run] + self.nth
         self.begin, self.end = self.wstart[self.word], self.wend[self.word + size - 1]
 
-    def hashes(self, begin: np.ndarray, end: np.ndarray, step: int = 1 << 21) -> np.ndarray:
-        """Hashes of spans in ascending order of place, block by block."""
-        out = np.empty(len(begin), U64)
-        a = 0
-        while a < len(begin):
-            b = max(a + 1, int(np.searchsorted(begin, begin[a] + step)))
-            lo, hi = int(begin[a]), int(end[a:b].max())
-            out[a:b] = span_hash(self.buf[lo:hi], begin[a:b] - lo, end[a:b] - lo)
+    def words(self, step: int = 1 << 20) -> np.ndarray:
+        """The words' hashes, worked out block by block."""
+        out, a = np.empty(len(self.wstart), U64), 0
+        while a < len(out):
+            b = max(a + 1, int(np.searchsorted(self.wstart, self.wstart[a] + step)))
+            lo, hi = int(self.wstart[a]), int(self.wend[b - 1])
+            out[a:b] = span_hash(self.buf[lo:hi], self.wstart[a:b] - lo, self.wend[a:b] - lo)
             a = b
         return out
 
+    @staticmethod
+    def grams(h: np.ndarray, n: int, step: int = 1 << 20) -> np.ndarray:
+        """The hash of every n words in a row, worked out block by block."""
+        return np.concatenate([gram_hash(h[a : a + step + n - 1], n) for a in range(0, len(h), step)])
+
     def same(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
         """Whether windows x and y have the same bytes."""
         length = self.end[x] - self.begin[x]

@@ -24,7 +24,7 @@ MULT_A, MULT_B = 0x9E3779B97F4A7C15 | 1, 0xD6E8FEB86659FD93 | 1
 WORDY = np.zeros(256, bool)
 WORDY[[*range(48, 58), *range(65, 91), *range(97, 123)]] = True
 WORDY[128:] = True
-BLOCK = 1 << 21  # bytes of text handled at once
+BLOCK = 1 << 20  # bytes of text handled at once
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -181,9 +181,15 @@ def gather(buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndar
     off = np.empty(len(size) + 1, np.int64)
     off[0] = 0
     np.cumsum(size, out=off[1:])
-    idx = np.repeat(start - off[:-1], size)
-    idx += np.arange(off[-1])
-    return buf[idx], off
+    out = np.empty(off[-1], buf.dtype)
+    a = 0
+    while a < len(size):  # by parts, as places take more memory than bytes
+        b = max(a + 1, int(np.searchsorted(off, off[a] + (1 << 20), "right")) - 1)
+        idx = np.repeat(start[a:b] - off[a:b], size[a:b])
+        idx += np.arange(off[a], off[b])
+        out[off[a] : off[b]] = buf[idx]
+        a = b
+    return out, off
 
 
 ship(__name__)

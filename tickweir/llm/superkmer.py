@@ -15,7 +15,7 @@ SIZE, K, SPREAD = 50, 6, 16
 
 def count_bucket(b: Bucket):
     """Sort the bucket's windows and count the equal ones."""
-    h = b.hashes(b.begin, b.end)
+    h = b.grams(b.words(), b.size)[b.word]
     order = np.argsort(h)
     h = h[order]
     new = np.r_[True, h[1:] != h[:-1]]
