@@ -32,19 +32,19 @@ def multikey_sort(b: Bucket) -> tuple[np.ndarray, np.ndarray]:
     Multikey quicksort, all parts of a depth at a time: windows are parted by their first symbol (SYMBOL words); a
     part of one window is done, the others are parted by the next symbol. Symbols are compared by hash."""
     live, group = np.arange(len(b.begin)), np.zeros(len(b.begin), np.int64)
+    h = b.words()
+    symbols = b.grams(h, min(SYMBOL, b.size))
     for depth in range(0, b.size, SYMBOL):
-        last = min(depth + SYMBOL, b.size) - 1
-        key = b.hashes(b.wstart[b.word[live] + depth], b.wend[b.word[live] + last])
+        if depth + SYMBOL > b.size:
+            symbols = b.grams(h, b.size - depth)
+        key = symbols[b.word[live] + depth]
         order = np.argsort(key) if depth == 0 else np.lexsort((key, group))
         g, key = group[order], key[order]
         new = np.r_[True, (g[1:] != g[:-1]) | (key[1:] != key[:-1])] if len(g) else np.zeros(0, bool)
         alone = new & np.r_[new[1:], True] if len(g) else new
         named = np.cumsum(new)[~alone]
-        live = live[order[~alone]]
-        back = np.argsort(live)  # places ascending again, so that text is read in order
-        live, group = live[back], named[back]
-    order = np.argsort(group, kind="stable")
-    return live[order], group[order]
+        live, group = live[order[~alone]], named
+    return live, group
 
 
 def sort_bucket(b: Bucket):
