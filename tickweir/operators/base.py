@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -60,17 +62,32 @@ def add_paper_features(df: DataFrame, levels: int = LEVELS) -> tuple[DataFrame,
     return df.withColumns(out), list(out)
 
 
+def on_grid(touch: str, sign: int, tick: float, sized: bool = True) -> Callable[[Column], Column]:
+    """A level's distance from the touch in whole ticks, outward positive; with its size as a struct (o, s)."""
+
+    def place(e: Column) -> Column:
+        o = F.rint(F.lit(sign) * (e["p"] - F.col(touch)) / F.lit(tick))
+        return F.struct(o.alias("o"), e["s"].alias("s")) if sized else o
+
+    return place
+
+
+def grid_cell(levels: str, o: int) -> Column:
+    here = F.filter(F.col(levels), lambda e: e["o"] == F.lit(float(o)))
+    return F.aggregate(here, F.lit(0.0), lambda s, e: s + e["s"])
+
+
 def add_grid_features(df: DataFrame, *, k: int = 20, tick: float = TICK, normalize: bool = True) -> tuple[DataFrame, list[str]]:
     """Resting size at each of k ticks from the touch, by side; with `normalize` as a share of all size in the grid.
     Levels beyond the grid, or with an unknown price or size, are left out."""
     grids = {}
     for side, px, sz, touch, sign in SIDES:
         pairs = F.filter(F.arrays_zip(F.col(px).alias("p"), F.col(sz).alias("s")), lambda e: e["p"].isNotNull() & e["s"].isNotNull())
-        ticks = F.transform(pairs, lambda e, touch=touch, sign=sign: F.struct(F.rint(F.lit(sign) * (e["p"] - F.col(touch)) / F.lit(tick)).alias("o"), e["s"].alias("s")))
+        ticks = F.transform(pairs, on_grid(touch, sign, tick))
         grids[f"_g_{side}"] = ticks
     df = df.withColumns(grids)
     cells = {
-        f"{side}_grid_{o}": F.coalesce(F.aggregate(F.filter(F.col(f"_g_{side}"), lambda e, o=o: e["o"] == F.lit(float(o))), F.lit(0.0), lambda s, e: s + e["s"]), F.lit(0.0))
+        f"{side}_grid_{o}": F.coalesce(grid_cell(f"_g_{side}", o), F.lit(0.0))
         for side, *_ in SIDES
         for o in range(k)
     }
@@ -88,7 +105,7 @@ def grid_clipped(df: DataFrame, *, k: int = 20, tick: float = TICK) -> DataFrame
     sums = []
     for side, px, sz, touch, sign in SIDES:
         pairs = F.filter(F.arrays_zip(F.col(px).alias("p"), F.col(sz).alias("s")), lambda e: e["p"].isNotNull() & e["s"].isNotNull())
-        off = F.transform(pairs, lambda e, touch=touch, sign=sign: F.rint(F.lit(sign) * (e["p"] - F.col(touch)) / F.lit(tick)))
+        off = F.transform(pairs, on_grid(touch, sign, tick, False))
         sums += [F.sum(F.size(pairs)).alias(f"n_{side}"), F.sum(F.size(F.filter(off, lambda o: (o >= 0) & (o < k)))).alias(f"in_{side}")]
     one = df.agg(*sums)
     rows_ = F.explode(F.array(*[F.struct(F.lit(s).alias("side"), F.col(f"n_{s}").alias("n_levels"), F.coalesce(1 - ratio(F.col(f"in_{s}"), F.col(f"n_{s}")), F.lit(0.0)).alias("clipped")) for s in ("bid", "ask")]))

@@ -29,8 +29,8 @@ def tape(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def rounded(x: Column | str, digits: int = 6) -> Column:
-    """Rounded, and never -0."""
-    return F.round(x, digits) + 0.0
+    """Rounded, and never -0. What lies just between two values is moved off the edge first, as engines differ there."""
+    return F.round((F.col(x) if isinstance(x, str) else x) + 1e-9, digits) + 0.0
 
 
 def tidy(df: DataFrame, cols: list[str], digits: int = 6, keys: tuple[str, ...] = KEYS) -> DataFrame:
@@ -85,7 +85,7 @@ def classed(s: SparkSession, d: str) -> DataFrame:
 
 
 def six(df: DataFrame) -> DataFrame:
-    return df.select(*[rounded(c).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
+    return df.select(*[(F.round(c, 6) + 0.0).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
 
 
 def cleaned(s: SparkSession, d: str) -> DataFrame:
@@ -101,7 +101,7 @@ def scaler(s: SparkSession, d: str) -> DataFrame:
     df = scalars(s, d)
     bounds = splits.fold_bounds(df, n_folds=4, horizon_s=30.0).filter("fold = 2")
     train = df.crossJoin(F.broadcast(bounds)).filter(splits.in_train())
-    return splits.scaler_stats(train, SCALED).select("feature", rounded("mean").alias("mean"), F.round("std", 6).alias("std"))
+    return splits.scaler_stats(train, SCALED).select("feature", (F.round("mean", 6) + 0.0).alias("mean"), F.round("std", 6).alias("std"))
 
 
 def window_ends(**guard) -> Query:

@@ -65,7 +65,7 @@ def level_flow(k: int) -> str:
 
 
 def query(ctes: list[str], cols: dict[str, str], source: str, digits: int = 6, keys: str = "market_id, timestamp_ns, seq", tail: str = "") -> str:
-    picked = ", ".join(f"round({x}, {digits}) + 0.0 AS {n}" for n, x in cols.items())
+    picked = ", ".join(f"round({x} + 1e-9, {digits}) + 0.0 AS {n}" for n, x in cols.items())
     return f"WITH {', '.join(ctes)} SELECT {keys}{', ' if keys and picked else ''}{picked} FROM {source} {tail}"
 
 
@@ -178,7 +178,7 @@ SQL["ewma"] = f"""WITH RECURSIVE {", ".join(BASE)},
         SELECT n.market_id, n.seq, n.timestamp_ns, n.i, (1 - power(2, -(n.timestamp_ns - r.timestamp_ns) / 5e9)) * n.g + power(2, -(n.timestamp_ns - r.timestamp_ns) / 5e9) * r.mg,
             (1 - power(2, -(n.timestamp_ns - r.timestamp_ns) / 5e9)) * n.o + power(2, -(n.timestamp_ns - r.timestamp_ns) / 5e9) * r.ob
         FROM r JOIN n ON n.market_id = r.market_id AND n.i = r.i + 1)
-    SELECT market_id, timestamp_ns, seq, round(mg, 5) + 0.0 AS mg_ewma_5s, round(ob, 5) + 0.0 AS obi_ewma_5s FROM r"""
+    SELECT market_id, timestamp_ns, seq, round(mg + 1e-9, 5) + 0.0 AS mg_ewma_5s, round(ob + 1e-9, 5) + 0.0 AS obi_ewma_5s FROM r"""
 
 
 def forward(seconds: float) -> str:
@@ -226,7 +226,7 @@ _SPAN = f"wn AS (SELECT *, row_number() OVER w AS rn, lag(timestamp_ns, 15) OVER
 SQL["windows_span"] = f"WITH {', '.join(BASE + _MOVES)}, {_SPAN} SELECT market_id, timestamp_ns, seq FROM wn WHERE rn >= 16 AND timestamp_ns - ts0 <= {18 * NS}"
 SQL["windows_moves"] = f"WITH {', '.join(BASE + _MOVES)}, {_SPAN} SELECT market_id, timestamp_ns, seq FROM wn WHERE rn >= 16 AND moves >= 14"
 SQL["windows_flat"] = f"""WITH {", ".join(_LABEL)}, l AS (SELECT *, row_number() OVER w AS rn, list(imbalance_l1) OVER (w ROWS BETWEEN 7 PRECEDING AND CURRENT ROW) AS xs FROM y WINDOW w AS ({_W}))
-    SELECT market_id, timestamp_ns, seq, y_cls, CAST(len(xs) AS INT) AS n, round(xs[1]::FLOAT::DOUBLE, 5) + 0.0 AS x_first, round(xs[8]::FLOAT::DOUBLE, 5) + 0.0 AS x_last, round(list_sum(xs), 4) + 0.0 AS x_sum FROM l WHERE rn >= 8"""
+    SELECT market_id, timestamp_ns, seq, y_cls, CAST(len(xs) AS INT) AS n, round(xs[1]::FLOAT::DOUBLE + 1e-9, 5) + 0.0 AS x_first, round(xs[8]::FLOAT::DOUBLE + 1e-9, 5) + 0.0 AS x_last, round(list_sum(list_transform(xs, lambda v: v::FLOAT::DOUBLE)) + 1e-9, 4) + 0.0 AS x_sum FROM l WHERE rn >= 8"""
 _PRED = [*_LABEL, "p AS (SELECT *, (microprice - mid) * 0.5 - 0.001 * imbalance_l3 AS pred FROM y)"]
 _REG = """round(1 - sum(power(y_fwd - pred, 2)) / (count(*) * var_pop(y_fwd)), 6) AS r2, round(corr(y_fwd, pred), 6) AS corr, round(avg((sign(pred) = sign(y_fwd))::INT) FILTER (WHERE y_fwd <> 0), 6) AS hit_rate,
     round(sum(abs(y_fwd)) FILTER (WHERE sign(pred) = sign(y_fwd)) / sum(abs(y_fwd)), 6) AS weighted_hit, count(*) AS n"""
@@ -242,9 +242,9 @@ SQL["pred_vs_actual"] = f"""WITH {", ".join(_PRED)}, l AS (SELECT quantile_cont(
     SELECT CAST(floor((pred + lim) / (2 * lim) * 20) AS INT) AS px, CAST(floor((y_fwd + lim) / (2 * lim) * 20) AS INT) AS py, count(*) AS n FROM p, l WHERE abs(y_fwd) < lim AND abs(pred) < lim GROUP BY ALL"""
 SQL["error_bins"] = f"""WITH {", ".join(_PRED)}, r AS (SELECT abs(y_fwd) AS mv, abs(y_fwd - pred) AS ae, row_number() OVER (ORDER BY abs(y_fwd), market_id, timestamp_ns) AS rn, count(*) OVER () AS n FROM p)
     SELECT CAST((rn * 20 - 1) // n AS INT) AS bin, round(avg(mv), 6) AS move, round(avg(ae), 6) AS error FROM r GROUP BY 1"""
-SQL["calibration"] = f"""WITH {", ".join(_PRED)}, q AS (SELECT quantile_cont(pred, [0, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 1]) AS qs FROM p)
-    SELECT CAST(least(greatest(len(list_filter(qs, lambda e: e <= pred)) - 1, 0), 9) AS INT) AS bin, round(avg(pred), 6) + 0.0 AS mean_pred, round(avg(y_fwd), 6) + 0.0 AS mean_actual, count(*) AS n FROM p, q GROUP BY 1"""
-SQL["price_decile"] = f"""WITH {", ".join(_PRED)}, q AS (SELECT quantile_cont(mid, [0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9]) AS qs FROM p), d AS (SELECT *, CAST(len(list_filter(qs, lambda e: e <= mid)) AS INT) AS decile FROM p, q)
+SQL["calibration"] = f"""WITH {", ".join(_PRED)}, qu AS (SELECT quantile_cont(pred, [0, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 1]) AS qs FROM p)
+    SELECT CAST(least(greatest(len(list_filter(qs, lambda e: e <= pred)) - 1, 0), 9) AS INT) AS bin, round(avg(pred), 6) + 0.0 AS mean_pred, round(avg(y_fwd), 6) + 0.0 AS mean_actual, count(*) AS n FROM p, qu GROUP BY 1"""
+SQL["price_decile"] = f"""WITH {", ".join(_PRED)}, qu AS (SELECT quantile_cont(mid, [0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9]) AS qs FROM p), d AS (SELECT *, CAST(len(list_filter(qs, lambda e: e <= mid)) AS INT) AS decile FROM p, qu)
     SELECT decile, {_REG} FROM d GROUP BY decile"""
 _KEY = "(seq * 7919) % 10007"
 SQL["balance"] = f"""WITH {", ".join(_LABEL)}, n AS (SELECT greatest(count(*) FILTER (WHERE y_cls = 1), count(*) FILTER (WHERE y_cls = -1)) // 4 AS m FROM y WHERE seq % 4 = 0 OR y_cls = 0),
@@ -254,7 +254,7 @@ SQL["subsample"] = f"WITH {BOOK} SELECT market_id, timestamp_ns, seq FROM b ORDE
 SQL["median_wall"] = f"WITH {', '.join([*BASE, _EVENT])} SELECT round(median((ht - timestamp_ns) / {NS}.0::DOUBLE), 6) AS median_s FROM fe WHERE hp IS NOT NULL"
 SQL["flow_signal"] = f"""WITH {", ".join([*BASE, *_FLOW])}, g AS (SELECT ofi_roll_5s, market_id, avg(microprice) OVER (PARTITION BY market_id ORDER BY timestamp_ns RANGE BETWEEN 1 FOLLOWING AND {5 * NS} FOLLOWING) - microprice AS y FROM f)
     SELECT market_id, count(*) AS n, round(corr(ofi_roll_5s, y), 6) AS corr, round(sum(ofi_roll_5s), 4) + 0.0 AS flow FROM g WHERE y IS NOT NULL GROUP BY market_id"""
-SQL["fold_means"] = f"""WITH {", ".join(_PRED)}, m AS (SELECT market_id, {_REG.replace(", 6)", ", 12)")} FROM p GROUP BY market_id)
-    SELECT 'rule' AS model, round(avg(r2), 6) AS r2, round(avg(corr), 6) AS corr, round(avg(hit_rate), 6) AS hit_rate, round(avg(weighted_hit), 6) AS weighted_hit, CAST(sum(n) AS BIGINT) AS n FROM m"""
+SQL["fold_means"] = f"""WITH {", ".join(_PRED)}, fm AS (SELECT market_id, {_REG.replace(", 6)", ", 12)")} FROM p GROUP BY market_id)
+    SELECT 'rule' AS model, round(avg(r2), 6) AS r2, round(avg(corr), 6) AS corr, round(avg(hit_rate), 6) AS hit_rate, round(avg(weighted_hit), 6) AS weighted_hit, CAST(sum(n) AS BIGINT) AS n FROM fm"""
 SQL["feature_groups"] = """SELECT * FROM (VALUES ('ofi', 'ofi'), ('imbalance_l10', 'imbalance'), ('micro_gap_l3', 'book_shape'), ('spread_ticks', 'spread/micro_gap'), ('spread_std_5s', 'spread_dyn'), ('ofi_l2', 'ofi_dynamics'),
     ('vol_5s', 'trade_flow'), ('bid_grid_3', 'grid_bid'), ('pl_obi_1', 'other')) t(feature, grp)"""
