@@ -8,11 +8,11 @@ from pyspark.sql import functions as F
 
 from tickweir.functions.expr import argmax, known, total
 
-NAN = F.lit(float("nan"))
+NAN = float("nan")
 
 
-def over(num: Column, den: Column, empty: Column = NAN) -> Column:
-    return F.when(den > 0, num / den).otherwise(empty)
+def over(num: Column, den: Column, empty: float = NAN) -> Column:
+    return F.when(den > 0, num / den).otherwise(F.lit(empty))
 
 
 def regression_metrics(df: DataFrame, y: str = "y_fwd", pred: str = "pred", by: list[str] | None = None) -> DataFrame:
@@ -24,7 +24,7 @@ def regression_metrics(df: DataFrame, y: str = "y_fwd", pred: str = "pred", by:
         F.sum((t - p) * (t - p)).alias("sse"), F.var_pop(t).alias("vt"), F.var_pop(p).alias("vp"), F.covar_pop(t, p).alias("c"), F.count("*").alias("n"),
         F.count_if(moved).alias("k"), F.count_if(moved & right).alias("h"), F.sum(F.when(moved & right, F.abs(t)).otherwise(0.0)).alias("wh"), F.sum(F.abs(t)).alias("w"),
     )
-    corr = F.when(F.col("vp") <= 0, 0.0).when(F.col("vt") <= 0, NAN).otherwise(F.try_divide(F.col("c"), F.sqrt("vt") * F.sqrt("vp")))
+    corr = F.when(F.col("vp") <= 0, 0.0).when(F.col("vt") <= 0, F.lit(NAN)).otherwise(F.try_divide(F.col("c"), F.sqrt("vt") * F.sqrt("vp")))
     return g.select(*(by or []), over(F.col("n") * F.col("vt") - F.col("sse"), F.col("n") * F.col("vt")).alias("r2"), corr.alias("corr"), over(F.col("h"), F.col("k")).alias("hit_rate"), over(F.col("wh"), F.col("w")).alias("weighted_hit"), "n")
 
 
@@ -41,7 +41,7 @@ def classification_metrics(df: DataFrame, truth: str = "y_cls", probs: str = "pr
     right = called & (F.signum(v) == p)
     cells = [F.count_if(cond).alias(f"{n}{c + 1}") for c in (-1, 0, 1) for n, cond in (("tp", (t == c) & (p == c)), ("t", t == c), ("p", p == c))]
     g = df.groupBy(*(by or [])).agg(F.count("*").alias("n"), F.count_if(t == p).alias("ok"), F.count_if(called).alias("k"), F.count_if(right).alias("h"), F.sum(F.when(right, F.abs(v)).otherwise(0.0)).alias("wh"), F.sum(F.when(called, F.abs(v)).otherwise(0.0)).alias("w"), *cells)
-    f1 = total(over(2.0 * F.col(f"tp{c}"), F.col(f"t{c}") + F.col(f"p{c}"), F.lit(0.0)) for c in range(3)) / 3
+    f1 = total(over(2.0 * F.col(f"tp{c}"), F.col(f"t{c}") + F.col(f"p{c}"), 0.0) for c in range(3)) / 3
     return g.select(*(by or []), over(F.col("ok"), F.col("n")).alias("accuracy"), f1.alias("macro_f1"), over(F.col("h"), F.col("k")).alias("hit_rate"), over(F.col("wh"), F.col("w")).alias("weighted_hit"), "n")
 
 

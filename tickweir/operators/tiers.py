@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 from tickweir.functions.frames import rows
 from tickweir.schema import NS
 
-SPAN = (F.max("timestamp_ns") - F.min("timestamp_ns")) / NS / 60.0
+def minutes() -> Column:
+    """From a group's first row to its last."""
+    return (F.max("timestamp_ns") - F.min("timestamp_ns")) / NS / 60.0
 
 
 def tier(value: str, n_tiers: int) -> Column:
@@ -22,14 +24,14 @@ def tier(value: str, n_tiers: int) -> Column:
 
 def add_liquidity_tier(df: DataFrame, n_tiers: int = 3) -> DataFrame:
     """Adds updates_per_min and liq_tier of each row's market."""
-    rate = df.groupBy("market_id").agg((F.count("*") / F.greatest(SPAN, F.lit(1e-9))).alias("updates_per_min"))
+    rate = df.groupBy("market_id").agg((F.count("*") / F.greatest(minutes(), F.lit(1e-9))).alias("updates_per_min"))
     return df.join(rate.withColumn("liq_tier", tier("updates_per_min", n_tiers)), "market_id", "left")
 
 
 def market_activity(df: DataFrame, *, eps: float = 1e-12) -> DataFrame:
     """A row a market: n_mid_moves, _minutes and mid_moves_per_min."""
     moved = F.abs(F.col("mid") - F.lag("mid").over(rows(df))) > eps
-    per = df.select("market_id", "timestamp_ns", moved.alias("_moved")).groupBy("market_id").agg(F.count_if("_moved").alias("n_mid_moves"), SPAN.alias("_minutes"))
+    per = df.select("market_id", "timestamp_ns", moved.alias("_moved")).groupBy("market_id").agg(F.count_if("_moved").alias("n_mid_moves"), minutes().alias("_minutes"))
     return per.withColumn("mid_moves_per_min", F.col("n_mid_moves") / F.greatest(F.col("_minutes"), F.lit(1e-9)))
 
 
