@@ -19,7 +19,7 @@ def test_counts_are_the_tokenizers(spark, encoding):
     pairs = [*H.AWKWARD, (20, "x" * 20_000), (21, "<|endoftext|> it's  \t\n\n tab"), (22, "日本語のテキスト 😀😀"), (23, "ab" * 500)]
     got = sorted(map(tuple, bpe.token_counts(H.docs(spark, pairs)).collect()), key=repr)
     assert got == sorted([(i, None if t is None else len(encoding.encode_ordinary(t))) for i, t in pairs], key=repr)
-    assert bpe.token_counts(H.docs(spark, pairs).filter("doc_id > 99")).count() == 0
+    assert bpe.token_counts(H.docs(spark, pairs).limit(0)).count() == 0
 
 
 def test_counts_of_a_whole_table(spark, encoding):
@@ -76,7 +76,7 @@ def test_leaks_against_brute_force(spark):
     for held in (decontam.HELD, 40):  # in one scan, and in many
         got = decontam.contaminated(df, bench(spark), held=held)
         assert sorted(map(tuple, got.collect()), key=repr) == leak_rows(LEAKY)
-    assert decontam.contaminated(df.filter("doc_id > 99"), bench(spark)).count() == 0
+    assert decontam.contaminated(df.limit(0), bench(spark)).count() == 0
     assert decontam.contaminated(df, bench(spark).filter("item_id > 99")).count() == 0
 
 
@@ -115,7 +115,7 @@ LINED = [*H.AWKWARD, (40, "a\n\nb\na\nc"), (41, "c\nb"), (42, "b\nd\nsame line\n
 def test_lines_against_brute_force(spark):
     df = H.docs(spark, LINED).repartition(3)
     assert sorted(map(tuple, linededup.line_bitmaps(df).collect()), key=repr) == bitmaps(LINED)
-    assert linededup.line_bitmaps(df.filter("doc_id > 99")).count() == 0
+    assert linededup.line_bitmaps(df.limit(0)).count() == 0
 
 
 def test_one_line_over_several_partitions(spark):

@@ -52,7 +52,7 @@ def test_awkward_rows(spark):
     pairs = [*H.AWKWARD, (50, "a b"), (51, "A, b!"), (52, "b a"), (53, "solo"), (54, "Solo."), (0, "another text under a used id, one of its own kind"), (55, "another text under a used id, one of its own kind")]
     got = groups(setsketch.near_duplicates(H.docs(spark, pairs)))
     assert got == [[0, 0], [0, 55], [7, 8], [50, 51], [53, 54]]
-    assert setsketch.near_duplicates(H.docs(spark, pairs).filter("doc_id > 99")).count() == 0
+    assert setsketch.near_duplicates(H.docs(spark, pairs).limit(0)).count() == 0
     assert setsketch.near_duplicates(H.docs(spark, pairs[:1])).count() == 0
     left = setsketch.one_of_each(H.docs(spark, pairs))
     assert left.columns == ["doc_id", "text", "lang", "source", "n_chars"]

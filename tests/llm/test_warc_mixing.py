@@ -1,9 +1,7 @@
 """WARC (1) and mixing (4)."""
 
-import glob
 import gzip
 import hashlib
-import os
 import zlib
 
 import numpy as np
@@ -14,7 +12,7 @@ from pyspark.sql import functions as F
 from tests.conftest import DATA, same_rows
 from tests.llm import helpers as H
 from tickweir.llm import mixing, registry, warc
-from tickweir.llm._common import filesystem, unit_hash
+from tickweir.llm._common import unit_hash
 
 
 def record(i, body, url="http://x/"):
@@ -61,12 +59,13 @@ def test_broken_and_empty_files(tmp_path):
     assert warc.normalise_file(str(tmp_path / "empty"), str(tmp_path / "e.out")) == []
 
 
-def test_pages_come_back_through_the_index(spark):
+def test_pages_come_back_through_the_index(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(warc, "shared_dir", lambda s, what: f"file:{tmp_path}/{what}")
+    root = f"file:{tmp_path}/warc/normal"
     rows = [(1, "http://a/", "<p>é</p>"), (None, None, None), (3, "http://b/ c\nd", ""), (1, "http://a/", "<p>é</p>"), (4, None, "x" * 300_000)]
     df = spark.createDataFrame([(*r, "x") for r in rows], "page_id bigint, url string, html string, HTML string").repartition(2)
     index = warc.pages_index(df).collect()
     assert len(index) == 5
-    [root] = {p for p in shared_warcs(spark) if p.endswith("normal")}
     back = []
     for r in index:
         fields, body = warc.read_record(f"{root}/{r['file']}", r["offset"], r["length"])
@@ -74,17 +73,11 @@ def test_pages_come_back_through_the_index(spark):
         back.append((r["page_id"], r["url"], None if "x-null" in fields else body.decode()))
     want = [(i, None if u is None else " ".join(u.split()), h) for i, u, h in rows]
     assert sorted(back, key=repr) == sorted(want, key=repr)
-    assert warc.pages_index(df.filter("page_id > 99")).count() == 0
+    monkeypatch.setattr(warc, "shared_dir", lambda s, what: f"file:{tmp_path}/empty")
+    assert warc.pages_index(df.limit(0)).count() == 0
     assert warc.normalise(spark, [], f"{root}/none").count() == 0
 
 
-def shared_warcs(spark):
-    held = spark.sparkContext._jsc.sc().getCheckpointDir().get()
-    _, p = filesystem(held)
-    newest = max(glob.glob(f"{p}/warc-*"), key=os.path.getmtime)
-    return [f"{newest}/normal"]
-
-
 def test_the_query_indexes_every_page(spark):
     pages = {r["page_id"]: r for r in spark.read.parquet(f"{DATA}/sf0.001/pages.parquet").collect()}
     got = registry.queries()["op1_warc_index"](spark, f"{DATA}/sf0.001").collect()
@@ -131,20 +124,38 @@ def test_raking_on_the_driver_and_in_the_cluster(spark, given, held):
     want = ipf(targets)
     rounds = mixing.ROUNDS
     got = {(r["m_source"], r["m_lang"], r["m_topic"]): (r["weight"], r["p"]) for r in mixing.rake(cells(spark), given, rounds, held=held).collect()}
-    top = max(want[c[:3]] / c[3] for c in CELLS)
+    p = scaled(want, mixing.BUDGET)
     for c in CELLS:
-        assert got[c[:3]][0] == pytest.approx(want[c[:3]]) and got[c[:3]][1] == pytest.approx(want[c[:3]] / c[3] / top)
+        assert got[c[:3]] == (pytest.approx(want[c[:3]]), pytest.approx(p[c[:3]]))
     assert sum(w for w, _ in got.values()) == pytest.approx(1.0)
 
 
+def scaled(weights, budget):
+    """By bisection: probabilities in proportion to the weight by token, at most 1, that keep the budget's tokens."""
+    lo, hi = 0.0, 1e9
+    for _ in range(200):
+        mid = (lo + hi) / 2
+        kept = sum(c[3] * min(1.0, mid * weights[c[:3]] / c[3]) for c in CELLS)
+        lo, hi = (mid, hi) if kept < budget * sum(c[3] for c in CELLS) else (lo, mid)
+    return {c[:3]: min(1.0, hi * weights[c[:3]] / c[3]) for c in CELLS}
+
+
+@pytest.mark.parametrize("budget", [0.01, 0.5, 0.97, 1.0])
+def test_probabilities_keep_the_budget(spark, budget):
+    got = {(r["m_source"], r["m_lang"], r["m_topic"]): r for r in mixing.rake(cells(spark), budget=budget).collect()}
+    want = scaled({k: r["weight"] for k, r in got.items()}, budget)
+    assert {k: r["p"] for k, r in got.items()} == pytest.approx(want)
+    assert sum(r["p"] * r["tokens"] for r in got.values()) == pytest.approx(budget * 166)
+
+
 def test_sample_of_awkward_rows(spark):
     df = H.docs(spark, H.AWKWARD)
     got = mixing.mixture(df)
-    everything = mixing.with_probability(mixing.pick(df, "doc_id", "text", "source", "lang"), None, None, 30, 0.7, 9)
+    everything = mixing.with_probability(mixing.pick(df, "doc_id", "text", "source", "lang"), None, None, 30, 0.7, 9, 0.5)
     want = everything.filter(unit_hash("doc_id", mixing.SALT) < F.col("p"))
     assert got.count() == want.count() and {r["source"] for r in got.collect()} <= {"(none)", "src"}
-    assert mixing.mixture(df.filter("doc_id > 99")).count() == 0
-    assert mixing.mixture(df.filter("doc_id = 2")).count() == 0  # no token in any cell
+    assert mixing.mixture(df.limit(0)).count() == 0
+    assert mixing.mixture(H.docs(spark, [(2, None)])).count() == 0  # no token in any cell
     assert mixing.mix(df).columns == ["doc_id", "text", "lang", "source", "n_chars"]
 
 
@@ -152,7 +163,7 @@ def test_shares_of_a_sample_approach_the_targets(spark):
     rng = np.random.default_rng(0)
     rows = [(i, " ".join(["w"] * int(rng.integers(5, 15))), rng.choice(["en", "fr"], p=[0.9, 0.1]), rng.choice(["a", "b"], p=[0.8, 0.2]), 0) for i in range(6000)]
     df = spark.createDataFrame([(i, t, str(a), str(b), n) for i, t, a, b, n in rows], H.DOCS)
-    got = mixing.mixture(df, {"lang": {"en": 0.5, "fr": 0.5}, "source": {"a": 0.5, "b": 0.5}}, topic=F.lit("t"))
+    got = mixing.mixture(df, {"lang": {"en": 0.5, "fr": 0.5}, "source": {"a": 0.5, "b": 0.5}}, topic=F.lit("t"), budget=0.1)
     whole = got.agg(F.sum("tokens")).first()[0]
     for m in ("lang", "source"):
         for r in got.groupBy(m).agg(F.sum("tokens").alias("t")).collect():

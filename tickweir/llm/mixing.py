@@ -5,6 +5,7 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tickweir.llm._common import DOC_COLUMNS, materialise, pick, ship, unit_hash
@@ -12,6 +13,7 @@ from tickweir.llm._common import DOC_COLUMNS, materialise, pick, ship, unit_hash
 ROUNDS = 30
 POWER = 0.7  # a marginal's target: its observed share of tokens to this power, normed
 MARGINS = ("m_source", "m_lang", "m_topic")
+BUDGET = 0.5  # share of all tokens that the sample is to hold
 HELD = 1 << 20  # cells that a broadcast may hold; more are joined by a shuffle
 SALT = ":mix"
 
@@ -60,14 +62,31 @@ def rake_held(pdf: pd.DataFrame, want: dict[str, dict[str, float]], rounds: int)
     return w
 
 
-def rake(cells: DataFrame, targets: dict[str, dict[str, float]] | None = None, rounds: int = ROUNDS, power: float = POWER, held: int = HELD) -> DataFrame:
+def calibrated(raked: DataFrame, budget: float) -> DataFrame:
+    """Adds p to raked cells: in proportion to the weight by token, so that a sample has the fitted shares, scaled to an
+    expected `budget` of all tokens. A cell that would need more tokens than it has is taken whole, and the others make
+    up for it."""
+    each = F.col("weight") / F.col("tokens")
+    by = W.orderBy(F.desc("each"), *MARGINS)  # a row a cell
+    before = by.rowsBetween(W.unboundedPreceding, -1)
+    ends = raked.withColumn("each", each).select(
+        "each", F.row_number().over(by).alias("k"), F.coalesce(F.sum("tokens").over(before), F.lit(0)).alias("whole"), F.coalesce(F.sum("weight").over(before), F.lit(0.0)).alias("spent"),
+        F.sum("tokens").over(W.partitionBy()).alias("all"), F.sum("weight").over(W.partitionBy()).alias("every"),
+    )
+    scale = (F.lit(budget) * F.col("all") - F.col("whole")) / (F.col("every") - F.col("spent"))
+    fits = ends.filter("every - spent > 1e-12").withColumn("scale", scale).filter(F.col("scale") * F.col("each") <= 1.0)
+    chosen = fits.agg(F.coalesce(F.min_by("scale", "k"), F.lit(float("inf"))).alias("scale"))
+    p = F.when(each > 0, F.least(F.lit(1.0), each * F.col("scale"))).otherwise(0.0)
+    return raked.crossJoin(F.broadcast(chosen)).select(*MARGINS, "tokens", "weight", p.alias("p"))
+
+
+def rake(cells: DataFrame, targets: dict[str, dict[str, float]] | None = None, rounds: int = ROUNDS, power: float = POWER, held: int = HELD, budget: float = BUDGET) -> DataFrame:
     """Iterative proportional fitting of cells (m_source, m_lang, m_topic, tokens): adds p, a document's probability.
 
     Each round scales the cells' weights, at first their tokens, to the target share of every source, then language,
     then topic. Targets are shares by value (normed over the values that occur; a value without one gets none); a margin
-    without targets gets its observed shares to `power`. p is a cell's weight by token over the largest such, so that a
-    sample has the fitted shares. Up to `held` cells are raked on the driver, more of them in the cluster; both give the
-    same. With no cells there are no rows."""
+    without targets gets its observed shares to `power`. Up to `held` cells are raked on the driver, more of them in the
+    cluster; both give the same. With no cells there are no rows."""
     targets = {f"m_{m}": t for m, t in (targets or {}).items()}
     want = {m: wanted(cells, m, targets, power) for m in MARGINS}
     if cells.count() <= held:
@@ -83,38 +102,36 @@ def rake(cells: DataFrame, targets: dict[str, dict[str, float]] | None = None, r
                 sums = raked.groupBy(m).agg(F.sum("weight").alias("total")).join(want[m], m)
                 raked = raked.join(sums, m).withColumn("weight", F.when(F.col("total") > 0, F.col("weight") * F.col("want") / F.col("total")).otherwise(0.0)).drop("total", "want")
             raked = materialise(raked, "raked")
-    each = F.col("weight") / F.col("tokens")
-    top = raked.agg(F.max(each).alias("top"))
-    return raked.crossJoin(F.broadcast(top)).select(*MARGINS, "tokens", "weight", F.when(F.col("top") > 0, each / F.col("top")).otherwise(0.0).alias("p"))
+    return calibrated(raked, budget)
 
 
-def with_probability(docs: DataFrame, targets: dict[str, dict[str, float]] | None, topic: Column | None, rounds: int, power: float, held: int) -> DataFrame:
+def with_probability(docs: DataFrame, targets: dict[str, dict[str, float]] | None, topic: Column | None, rounds: int, power: float, held: int, budget: float) -> DataFrame:
     marked = labelled(docs, topic)
     cells = materialise(marked.select(*MARGINS, token_count().alias("tokens")).groupBy(*MARGINS).agg(F.sum("tokens").alias("tokens")).filter("tokens > 0"), "cells")
-    raked = rake(cells, targets, rounds, power, held).select(*MARGINS, "p")
+    raked = rake(cells, targets, rounds, power, held, budget).select(*MARGINS, "p")
     small = cells.count() <= held
     return marked.join(F.broadcast(raked) if small else raked, list(MARGINS))
 
 
-def mixture(docs: DataFrame, targets: dict[str, dict[str, float]] | None = None, topic: Column | None = None, rounds: int = ROUNDS, power: float = POWER, held: int = HELD) -> DataFrame:
+def mixture(docs: DataFrame, targets: dict[str, dict[str, float]] | None = None, topic: Column | None = None, rounds: int = ROUNDS, power: float = POWER, held: int = HELD, budget: float = BUDGET) -> DataFrame:
     """A sample of the documents whose tokens have the target shares of sources, languages and topics: doc_id, source,
     lang, topic, tokens, p.
 
-    p is the document's probability (see rake); it is in the sample if a hash of its doc_id, as a number in [0, 1), is
+    p is the document's probability (see rake and calibrated); it is in the sample if a hash of its doc_id, as a number in [0, 1), is
     below p, so a run can be repeated and repeated rows share their fate. Statistics are taken over all documents. Topic
     is given as a column expression or derived from the text's form. Null sources, languages and topics count as the
     value "(none)"; null ids are hashed as empty ones. A text without tokens, null or empty, is drawn with its cell's
     probability and weighs nothing; it is left out where its whole cell has no tokens. An empty table gives no rows.
     Other columns are ignored.
     """
-    docs = with_probability(pick(docs, "doc_id", "text", "source", "lang"), targets, topic, rounds, power, held)
+    docs = with_probability(pick(docs, "doc_id", "text", "source", "lang"), targets, topic, rounds, power, held, budget)
     drawn = docs.filter(unit_hash("doc_id", SALT) < F.col("p"))
     return drawn.select("doc_id", F.col("m_source").alias("source"), F.col("m_lang").alias("lang"), F.col("m_topic").alias("topic"), token_count().alias("tokens"), F.round("p", 6).alias("p"))
 
 
-def mix(docs: DataFrame, targets: dict[str, dict[str, float]] | None = None) -> DataFrame:
+def mix(docs: DataFrame, targets: dict[str, dict[str, float]] | None = None, budget: float = BUDGET) -> DataFrame:
     """The documents that `mixture` draws, with the columns of documents."""
-    docs = with_probability(pick(docs, *DOC_COLUMNS), targets, None, ROUNDS, POWER, HELD)
+    docs = with_probability(pick(docs, *DOC_COLUMNS), targets, None, ROUNDS, POWER, HELD, budget)
     return docs.filter(unit_hash("doc_id", SALT) < F.col("p")).select(*DOC_COLUMNS)
 
 

@@ -57,6 +57,10 @@ MIXTURE = """WITH RECURSIVE d AS (SELECT doc_id, coalesce(source, '(none)') AS s
         SELECT i + 1, source, lang, topic, tokens, x, y, z, w * z / sum(w) OVER (PARTITION BY topic) FROM (
             SELECT * REPLACE (w * y / sum(w) OVER (PARTITION BY lang) AS w) FROM (
                 SELECT * REPLACE (w * x / sum(w) OVER (PARTITION BY source) AS w) FROM r WHERE i < 30))),
-    p AS (SELECT source, lang, topic, (w / tokens) / max(w / tokens) OVER () AS p FROM r WHERE i = 30)
+    o AS (SELECT *, w / tokens AS e, row_number() OVER v AS k, coalesce(sum(tokens) OVER (v ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS whole,
+        coalesce(sum(w) OVER (v ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS spent, sum(tokens) OVER () AS al, sum(w) OVER () AS ev
+        FROM r WHERE i = 30 WINDOW v AS (ORDER BY w / tokens DESC, source, lang, topic)),
+    q AS (SELECT arg_min((0.5 * al - whole) / (ev - spent), k) AS c FROM o WHERE ev - spent > 1e-12 AND (0.5 * al - whole) / (ev - spent) * e <= 1),
+    p AS (SELECT source, lang, topic, least(1.0::DOUBLE, e * c) AS p FROM o, q)
     SELECT doc_id, source, lang, topic, CAST(tokens AS BIGINT) AS tokens, round(p, 6) AS p FROM d JOIN p USING (source, lang, topic)
     WHERE ('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '') || ':mix'), 1, 8))::UBIGINT / 4294967296.0 < p"""
