@@ -20,8 +20,22 @@ def ship(module: str) -> None:
     cloudpickle.register_pickle_by_value(sys.modules[module])
 
 
+#: The most that one batch between the JVM and a Python worker may hold: rows and bytes.
+BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": 1000, "spark.sql.execution.arrow.maxBytesPerBatch": 8 << 20}
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bound the session's Arrow batches by BATCH. Each batch is held several times over, in the JVM and in Python."""
+    for name, most in BATCH.items():
+        now = str(spark.conf.get(name)).rstrip("b")
+        if not now.isdigit() or not 0 < int(now) <= most:
+            spark.conf.set(name, most)
+
+
 def pick(df: DataFrame, *names: str) -> DataFrame:
-    """Just these columns, by exact name, first match; other columns may clash with them in case or be repeated."""
+    """Just these columns, by exact name, first match; other columns may clash with them in case or be repeated. Every
+    operator begins with it, so it also sees to small batches."""
+    small_batches(df.sparkSession)
     have = df.columns
     missing = [n for n in names if n not in have]
     if missing:
@@ -43,11 +57,10 @@ def shared_dir(spark: SparkSession, what: str) -> str:
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         held = jsc.getCheckpointDir()
-        if held.isDefined():
-            root = held.get()
-        else:
-            root = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_shared"
-            spark.sparkContext.setCheckpointDir(root)
+        if not held.isDefined():
+            spark.sparkContext.setCheckpointDir(spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_shared")
+            held = jsc.getCheckpointDir()
+        root = held.get()
     return f"{root.rstrip('/')}/{what}-{uuid.uuid4().hex}"
 
 

@@ -122,13 +122,15 @@ class Chain:
     models fitted on the other folds gave."""
 
     def __init__(self, texts: pa.Array, labels: dict[str, np.ndarray], selected: int = SELECTED, folds: int = FOLDS):
-        docs, hashes, dense = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros((0, DENSE))]
+        docs, hashes, dense = [np.zeros(0, np.int32)], [np.zeros(0, np.int32)], [np.zeros((0, DENSE))]
         for a, _, d, h, x in features(texts):
             pair = np.unique((d + a) << BITS | h)
-            docs.append(pair >> BITS)
-            hashes.append(pair & ((1 << BITS) - 1))
+            docs.append((pair >> BITS).astype(np.int32))
+            hashes.append((pair & ((1 << BITS) - 1)).astype(np.int32))
             dense.append(x)
         doc, feature, x = np.concatenate(docs), np.concatenate(hashes), np.concatenate(dense)
+        twice = np.bincount(feature, minlength=1 << BITS)[feature] > 1  # a feature of one document is never selected
+        docs, hashes, doc, feature = [], [], doc[twice], feature[twice]
         n = len(x)
         fold = np.arange(n) % folds
         self.names, self.links, self.cuts, self.out_of_fold = list(labels), [], [], {}
@@ -140,11 +142,12 @@ class Chain:
                 rows = fold != f
                 if not rows.any() or rows.all():
                     continue
-                at = np.cumsum(rows) - 1
-                mine, rest = rows[doc], ~rows[doc]
+                mine = rows[doc]
+                at = (np.cumsum(rows) - 1).astype(np.int32)
                 link = Link(at[doc[mine]], feature[mine], x[rows], y[rows], selected)
-                back = np.cumsum(~rows) - 1
-                oof[~rows] = link.logit(back[doc[rest]], feature[rest], x[~rows])
+                np.logical_not(mine, out=mine)
+                at = (np.cumsum(~rows) - 1).astype(np.int32)
+                oof[~rows] = link.logit(at[doc[mine]], feature[mine], x[~rows])
             self.out_of_fold[name] = sigmoid(oof)
             self.cuts.append(cut_of(sigmoid(oof), y))
             x = np.c_[x, oof]
