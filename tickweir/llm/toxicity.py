@@ -14,7 +14,8 @@ from tickweir.llm._text import BYTE_A, MULT_A, U64, Words, blocks, buffers, mix,
 
 BITS = 18  # hashed features: words and their first 4 and 5 bytes
 SAMPLE = 6000  # labelled documents that the models are fitted on
-SELECTED = 512  # hashed features of a model, those whose association with the category is strongest
+SELECTED = 256  # hashed features of a model, those whose association with the category is strongest
+MIN_Z = 4.5  # standard errors of the association that a feature must have, so that none is there by chance
 FOLDS = 3
 DENSE = 4  # shares of upper-case letters, of signs and of digits; documents with any word
 PENALTY = 1.0
@@ -62,7 +63,7 @@ def logistic(x: np.ndarray, y: np.ndarray, penalty: float = PENALTY, steps: int
         v = np.maximum(p * (1 - p), 1e-6)
         step = np.linalg.solve((x.T * v) @ x + np.diag(ridge), grad)
         w -= step * min(1.0, 5.0 / max(1e-12, np.abs(step).max()))
-        if np.abs(step).max() < 1e-6:
+        if np.abs(step).max() < 1e-5:
             break
     return w
 
@@ -72,19 +73,23 @@ class Link:
 
     def __init__(self, doc: np.ndarray, feature: np.ndarray, dense: np.ndarray, y: np.ndarray, selected: int):
         n, pos = len(y), max(1.0, y.sum())
+        self.constant = None if 0 < y.sum() < n else float(np.log((y.sum() + 0.5) / (n - y.sum() + 0.5)))
         has = np.bincount(feature, minlength=1 << BITS)
         with_y = np.bincount(feature, y[doc], 1 << BITS)
         share = has / n
         z = (with_y / pos - share) / np.sqrt((share * (1 - share) + 1 / n) / pos)
-        z[has < 2] = 0
+        z[(has < 2) | (np.abs(z) < MIN_Z)] = 0
         best = np.argsort(-np.abs(z), kind="stable")[:selected]
+        best = best[z[best] != 0]
         self.at = np.full(1 << BITS, -1, np.int32)
-        self.at[best[np.abs(z[best]) > 0]] = np.arange(int((np.abs(z[best]) > 0).sum()))
+        self.at[best] = np.arange(len(best))
         self.width = int(self.at.max() + 1)
-        x = np.c_[self.matrix(doc, feature, n), dense]
-        self.mean, self.scale = x[:, self.width :].mean(0), np.maximum(x[:, self.width :].std(0), 1e-3)
-        x[:, self.width :] = (x[:, self.width :] - self.mean) / self.scale
-        self.w = logistic(x, y)
+        self.mean, self.scale = dense.mean(0), np.maximum(dense.std(0), 1e-2)
+        if self.constant is None:
+            self.w = logistic(np.c_[self.matrix(doc, feature, n), self.standard(dense)], y)
+
+    def standard(self, dense: np.ndarray) -> np.ndarray:
+        return np.clip((dense - self.mean) / self.scale, -8, 8)
 
     def matrix(self, doc: np.ndarray, feature: np.ndarray, n: int) -> np.ndarray:
         x = np.zeros((n, self.width))
@@ -93,12 +98,15 @@ class Link:
         return x
 
     def logit(self, doc: np.ndarray, feature: np.ndarray, dense: np.ndarray) -> np.ndarray:
-        """Log-odds of documents; a feature counts once however often it occurs."""
+        """Log-odds of documents; a feature counts once however often it occurs. With one class to learn from, they are
+        that class's everywhere."""
+        if self.constant is not None:
+            return np.full(len(dense), self.constant)
         k = self.at[feature]
         use = k >= 0
         pair = np.unique(doc[use].astype(np.int64) * max(1, self.width) + k[use])
         z = np.bincount(pair // max(1, self.width), self.w[pair % max(1, self.width)], len(dense)) if len(pair) else np.zeros(len(dense))
-        return np.clip(z + ((dense - self.mean) / self.scale) @ self.w[self.width : -1] + self.w[-1], -35, 35)
+        return np.clip(z + self.standard(dense) @ self.w[self.width : -1] + self.w[-1], -35, 35)
 
 
 def sigmoid(z: np.ndarray) -> np.ndarray:
@@ -118,8 +126,8 @@ def cut_of(p: np.ndarray, y: np.ndarray) -> float:
 
 
 class Chain:
-    """Models of categories in order; each has the log-odds of the earlier ones as features, in training those that
-    models fitted on the other folds gave."""
+    """Models of categories in order; each has the probabilities of the earlier ones as features, in training those
+    that models fitted on the other folds gave."""
 
     def __init__(self, texts: pa.Array, labels: dict[str, np.ndarray], selected: int = SELECTED, folds: int = FOLDS):
         docs, hashes, dense = [np.zeros(0, np.int32)], [np.zeros(0, np.int32)], [np.zeros((0, DENSE))]
@@ -150,7 +158,7 @@ class Chain:
                 oof[~rows] = link.logit(at[doc[mine]], feature[mine], x[~rows])
             self.out_of_fold[name] = sigmoid(oof)
             self.cuts.append(cut_of(sigmoid(oof), y))
-            x = np.c_[x, oof]
+            x = np.c_[x, sigmoid(oof)]
 
     def score(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Probabilities, a row a document, a column a category; and which documents have words."""
@@ -159,9 +167,8 @@ class Chain:
             worded[a:b] = x[:, DENSE - 1] > 0
             for i, link in enumerate(self.links):
                 if link is not None:
-                    z = link.logit(d, h, x)
-                    out[a:b, i] = sigmoid(z)
-                    x = np.c_[x, z]
+                    out[a:b, i] = sigmoid(link.logit(d, h, x))
+                    x = np.c_[x, out[a:b, i]]
         return out, worded
 
 
@@ -182,8 +189,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Chain:
 def scores(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
     """doc_id, p_low_quality, p_toxic and toxic of every document.
 
-    Linear models over hashed words and word beginnings, chained: the toxicity model has the log-odds of low quality as
-    a feature, in training out of fold. They are fitted on at most `sample` labelled documents (fixed by a hash of the
+    Linear models over hashed words and word beginnings, chained: the toxicity model has the probability of low quality
+    as a feature, in training out of fold. They are fitted on at most `sample` labelled documents (fixed by a hash of the
     id), the threshold on their out-of-fold probabilities. Every document is scored whole; a feature counts once, so
     that a long text's length alone decides nothing.
 
