@@ -39,7 +39,10 @@ def shingles(words: Words) -> tuple[np.ndarray, np.ndarray]:
     if len(g):
         out[:] = g[np.minimum(at, len(g) - 1)]
     for d in np.flatnonzero((count > 0) & (count < SHINGLE)):
-        out[begin[d]] = mix(np.bitwise_xor.reduce(h[words.first[d] : words.first[d + 1]] * U64(MULT_B), keepdims=True))[0] if count[d] > 1 else mix(h[words.first[d] : words.first[d] + 1].copy())[0]
+        whole = np.zeros(1, U64)
+        for x in h[words.first[d] : words.first[d + 1]]:
+            whole = whole * U64(MULT_B) + x
+        out[begin[d]] = mix(whole)[0]
     return out, begin
 
 
