@@ -12,6 +12,7 @@ from tickweir.functions.frames import order_of
 from tickweir.operators.metrics import regression_metrics
 from tickweir.operators.windows import draw
 
+Groups = dict[str, list[str]]
 #: Group, names it holds, beginnings of names it holds; the first match counts.
 GROUPS: tuple[tuple[str, tuple[str, ...], tuple[str, ...]], ...] = (
     ("grid_bid", (), ("bid_grid_",)),
@@ -21,7 +22,7 @@ GROUPS: tuple[tuple[str, tuple[str, ...], tuple[str, ...]], ...] = (
     ("smooth_ofi", (), ("ofi_ewma", "ofidepth_ewma")),
     ("price_impact", (), ("kyle_lambda_", "amihud_")),
     ("orderflow_decomp", (), ("add_rate_", "cancel_rate_")),
-    ("trade_flow", (), ("tfi_", "trades_", "vol_", "vwapgap_")),
+    ("trade_flow", (), ("trades_", "vol_", "tfi_", "vwapgap_")),
     ("ofi_dynamics", (), ("ofi_roll_", "ofi_ev_", "ofi_l")),
     ("ofi", ("ofi",), ()),
     ("return/vol", (), ("ret_", "rv_")),
@@ -29,7 +30,7 @@ GROUPS: tuple[tuple[str, tuple[str, ...], tuple[str, ...]], ...] = (
     ("spread/micro_gap", ("micro_gap_ticks", "spread_ticks"), ()),
     ("spread_dyn", ("rel_spread",), ("spread_",)),
     ("imbalance", (), ("imbalance_", "obi_roll_")),
-    ("book_shape", (), ("touch_conc_", "depth_log_ratio", "log_depth_", "micro_gap_l")),
+    ("book_shape", (), ("log_depth_", "depth_log_ratio", "micro_gap_l", "touch_conc_")),
 )
 
 
@@ -37,10 +38,10 @@ def group_of(feature: str) -> str:
     return next((g for g, names, starts in GROUPS if feature in names or feature.startswith(starts)), "other")
 
 
-def feature_groups(feats: list[str]) -> dict[str, list[str]]:
+def feature_groups(names: list[str]) -> Groups:
     """Features by group, in the order in which groups first occur."""
-    out: dict[str, list[str]] = {}
-    for c in feats:
+    out: Groups = {}
+    for c in names:
         out.setdefault(group_of(c), []).append(c)
     return out
 

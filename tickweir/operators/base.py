@@ -9,11 +9,12 @@ from pyspark.sql import functions as F
 
 from tickweir.functions.expr import at, dot, list_sum, ratio, total
 from tickweir.functions.frames import rows
-from tickweir.schema import LEVELS, TICK, require
+from tickweir.schema import LADDERS, LEVELS, QUOTE, TICK, require
 
+Built = tuple[DataFrame, list[str]]  # a frame, and the names of the features in it
 DEPTHS = (3, 5, 10)
-SIDES = (("bid", "bids_price", "bids_size", "bid_price", -1), ("ask", "asks_price", "asks_size", "ask_price", 1))
-LADDERS = ("bids_price", "bids_size", "asks_price", "asks_size")
+IMBALANCES = [f"imbalance_l{n}" for n in (1, 3, 5)]
+SIDES = tuple((s, f"{s}s_price", f"{s}s_size", f"{s}_price", outward) for s, outward in (("bid", -1), ("ask", 1)))
 
 
 def level(side: str, k: int) -> tuple[Column, Column]:
@@ -24,7 +25,7 @@ def level(side: str, k: int) -> tuple[Column, Column]:
 def add_microstructure(df: DataFrame) -> DataFrame:
     """microprice, imbalance_l1 and, for each depth N, bid_size_lN, ask_size_lN, imbalance_lN, microprice_lN (the mean of
     both sides' first N prices by their own sizes). Null where the sizes don't add up to more than 0."""
-    require(df, ("bid_price", "bid_size", "ask_price", "ask_size", *LADDERS), "add_microstructure")
+    require(df, (*QUOTE, *LADDERS), "add_microstructure")
     b, a = F.col("bid_size"), F.col("ask_size")
     df = df.withColumns({c: F.col(c).cast("array<double>") for c in LADDERS if df.schema[c].dataType.simpleString() != "array<double>"})
     out = {"microprice": ratio(F.col("bid_price") * a + F.col("ask_price") * b, b + a), "imbalance_l1": ratio(b - a, b + a)}
@@ -47,13 +48,13 @@ def flow(price: Column, size: Column, price0: Column, size0: Column, sign: int)
 
 def add_ofi(df: DataFrame) -> DataFrame:
     """delta_bid, delta_ask and their sum, ofi; null on a market's first row."""
-    require(df, ("market_id", "timestamp_ns", "bid_price", "bid_size", "ask_price", "ask_size"), "add_ofi")
+    require(df, ("market_id", "timestamp_ns", *QUOTE), "add_ofi")
     w = rows(df)
     part = {s: flow(F.col(f"{s}_price"), F.col(f"{s}_size"), F.lag(f"{s}_price").over(w), F.lag(f"{s}_size").over(w), sign) for s, sign in (("bid", 1), ("ask", -1))}
     return df.withColumns({f"delta_{s}": x for s, x in part.items()}).withColumn("ofi", F.col("delta_bid") + F.col("delta_ask"))
 
 
-def add_paper_features(df: DataFrame, levels: int = LEVELS) -> tuple[DataFrame, list[str]]:
+def add_paper_features(df: DataFrame, levels: int = LEVELS) -> Built:
     """Raw prices and sizes of the first levels, a side after the other."""
     out = {}
     for side, *_ in SIDES:
@@ -77,7 +78,7 @@ def grid_cell(levels: str, o: int) -> Column:
     return F.aggregate(here, F.lit(0.0), lambda s, e: s + e["s"])
 
 
-def add_grid_features(df: DataFrame, *, k: int = 20, tick: float = TICK, normalize: bool = True) -> tuple[DataFrame, list[str]]:
+def add_grid_features(df: DataFrame, *, normalize: bool = True, k: int = 20, tick: float = TICK) -> Built:
     """Resting size at each of k ticks from the touch, by side; with `normalize` as a share of all size in the grid.
     Levels beyond the grid, or with an unknown price or size, are left out."""
     grids = {}
@@ -112,17 +113,17 @@ def grid_clipped(df: DataFrame, *, k: int = 20, tick: float = TICK) -> DataFrame
     return one.select(rows_.alias("r")).select("r.*")
 
 
-def add_scalar_features(df: DataFrame, *, tick: float = TICK) -> tuple[DataFrame, list[str]]:
+def add_scalar_features(df: DataFrame, *, tick: float = TICK) -> Built:
     """Order flow, imbalances, the microprice's gap from mid and the spread, both in ticks."""
     df = add_ofi(add_microstructure(df)).withColumns(gaps(tick))
-    return df, ["ofi", "imbalance_l1", "imbalance_l3", "imbalance_l5", "micro_gap_ticks", "spread_ticks"]
+    return df, ["ofi", *IMBALANCES, *gaps(tick)]
 
 
 def gaps(tick: float) -> dict[str, Column]:
     return {"micro_gap_ticks": (F.col("microprice") - F.col("mid")) / F.lit(tick), "spread_ticks": F.col("spread") / F.lit(tick)}
 
 
-def add_stationary_features(df: DataFrame, levels: int = LEVELS, *, tick: float = TICK) -> tuple[DataFrame, list[str]]:
+def add_stationary_features(df: DataFrame, levels: int = LEVELS, tick: float = TICK) -> Built:
     """Imbalances, microprices and order flow with every level's price from mid, in ticks, and share of its side."""
     df = add_ofi(add_microstructure(df))
     out = gaps(tick)
@@ -130,5 +131,5 @@ def add_stationary_features(df: DataFrame, levels: int = LEVELS, *, tick: float
         for k in range(levels):
             out[f"{side}_relpx_{k + 1}"] = F.coalesce((at(px, k) - F.col("mid")) / F.lit(tick), F.lit(0.0))
             out[f"{side}_relsz_{k + 1}"] = F.coalesce(ratio(at(sz, k), list_sum(sz)), F.lit(0.0))
-    first = [f"{a}{b}" for a, bs in (("imbalance_", ("l1", "l3", "l5")), ("microprice", ("", "_l3", "_l5"))) for b in bs]
+    first = [*IMBALANCES, *[f"microprice{n}" for n in ("", "_l3", "_l5")]]
     return df.withColumns(out), [*first, "ofi", *out]

@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 from tickweir.functions.expr import list_sum, or_zero, ratio
 from tickweir.functions.frames import ALL, change, drop_sums, previous, rows, value_before, window_sums, with_ewma
-from tickweir.operators.base import flow, level
-from tickweir.schema import LEVELS, TICK, label, require
+from tickweir.operators.base import Built, flow, level
+from tickweir.schema import LEVELS, LONG, SHORT, TICK, TRADES, Seconds, label, require
 
+Events = tuple[int, ...]
 SCALARS = "run add_scalar_features first"
 MOVE = 1e-12
 
@@ -24,7 +25,7 @@ def level_flows(df: DataFrame, levels: range, name: str) -> dict[str, Column]:
     return out
 
 
-def add_flow_features(df: DataFrame, *, time_windows_s: tuple[float, ...] = (1.0, 5.0, 30.0), event_windows: tuple[int, ...] = (10, 50), levels: int = 3) -> tuple[DataFrame, list[str]]:
+def add_flow_features(df: DataFrame, *, time_windows_s: Seconds = SHORT, event_windows: Events = (10, 50), levels: int = 3) -> Built:
     """Rolling order flow by time and by events, order flow of deeper levels, rolling mean imbalance."""
     require(df, ("ofi", "imbalance_l1"), "add_flow_features", SCALARS)
     values = {"ofi": F.col("ofi"), "obi": F.col("imbalance_l1")}
@@ -37,7 +38,7 @@ def add_flow_features(df: DataFrame, *, time_windows_s: tuple[float, ...] = (1.0
     return drop_sums(df.withColumns(roll | mean), values, time_windows_s), [*roll, *events, *deep, *mean]
 
 
-def add_history_features(df: DataFrame, *, event_lags: tuple[int, ...] = (1, 5, 10), time_windows_s: tuple[float, ...] = (5.0, 30.0), tick: float = TICK) -> tuple[DataFrame, list[str]]:
+def add_history_features(df: DataFrame, *, event_lags: Events = (1, 5, 10), time_windows_s: Seconds = LONG, tick: float = TICK) -> Built:
     """Microprice returns over events and seconds, and realised volatility, in ticks."""
     require(df, ("microprice",), "add_history_features", SCALARS)
     w = rows(df)
@@ -51,7 +52,7 @@ def add_history_features(df: DataFrame, *, event_lags: tuple[int, ...] = (1, 5,
     return drop_sums(df.withColumns(rv), values, time_windows_s).drop("_mp", "_r"), [*lagged, *rolled, *rv]
 
 
-def add_shape_features(df: DataFrame, *, tick: float = TICK) -> tuple[DataFrame, list[str]]:
+def add_shape_features(df: DataFrame, *, tick: float = TICK) -> Built:
     """Concentration at the touch, depth by side on a log scale, deeper microprice gaps, imbalance of ten levels."""
     require(df, ("microprice_l3", "microprice_l5", "imbalance_l10"), "add_shape_features", SCALARS)
     df = df.withColumns({"_bt": list_sum("bids_size"), "_at": list_sum("asks_size")})
@@ -67,12 +68,12 @@ def add_shape_features(df: DataFrame, *, tick: float = TICK) -> tuple[DataFrame,
     return df.withColumns(out).drop("_bt", "_at"), [*out, "imbalance_l10"]
 
 
-def add_trade_features(book: DataFrame, trades: DataFrame, *, windows_s: tuple[float, ...] = (5.0, 30.0), tick: float = TICK) -> tuple[DataFrame, list[str]]:
+def add_trade_features(book: DataFrame, trades: DataFrame, *, windows_s: Seconds = LONG, tick: float = TICK) -> Built:
     """Of the trades in (t - w, t]: signed-volume imbalance, count, volume (log), VWAP's gap from mid in ticks, and
     illiquidity (absolute mid changes by volume). All 0 without trades.
 
     Book rows and trades are put in one series; there is no join, so a busy tape multiplies nothing."""
-    require(trades, ("market_id", "timestamp_ns", "price", "size", "side"), "add_trade_features: the trade tape")
+    require(trades, TRADES.names, "add_trade_features: the trade tape")
     require(book, ("mid",), "add_trade_features")
     book = book.withColumn("_move", F.abs(change(book, "mid")))
     nothing = {c: F.lit(0.0) for c in ("_n", "_sz", "_sg", "_pv")}
@@ -96,7 +97,7 @@ def add_trade_features(book: DataFrame, trades: DataFrame, *, windows_s: tuple[f
     return drop_sums(df.withColumns(made), values, windows_s).drop("_move", "_book", *nothing), list(made)
 
 
-def add_activity_spread_features(df: DataFrame, *, time_windows_s: tuple[float, ...] = (1.0, 5.0, 30.0), spread_windows_s: tuple[float, ...] = (5.0, 30.0)) -> tuple[DataFrame, list[str]]:
+def add_activity_spread_features(df: DataFrame, *, time_windows_s: Seconds = SHORT, spread_windows_s: Seconds = LONG) -> Built:
     """Mid changes and updates of the last seconds, mean and deviation of the spread in ticks, spread by mid."""
     require(df, ("spread_ticks",), "add_activity_spread_features", SCALARS)
     df = df.withColumns({"rel_spread": F.coalesce(ratio(F.col("spread"), F.col("mid")), F.lit(0.0)), "_moved": (F.abs(change(df, "mid")) > MOVE).cast("double"), "_sp": or_zero(F.col("spread_ticks"))})
@@ -112,7 +113,7 @@ def add_activity_spread_features(df: DataFrame, *, time_windows_s: tuple[float,
     return drop_sums(df.withColumns(moves | updates | mean | std), values, every).drop("_moved", "_sp"), ["rel_spread", *moves, *updates, *mean, *std]
 
 
-def add_impact_features(df: DataFrame, *, time_windows_s: tuple[float, ...] = (5.0, 30.0)) -> tuple[DataFrame, list[str]]:
+def add_impact_features(df: DataFrame, *, time_windows_s: Seconds = LONG) -> Built:
     """Size added and cancelled at unchanged touches, and the slope of mid changes on order flow."""
     require(df, ("ofi",), "add_impact_features", SCALARS)
     same = {}
@@ -131,7 +132,7 @@ def add_impact_features(df: DataFrame, *, time_windows_s: tuple[float, ...] = (5
     return drop_sums(df.withColumns(adds | cuts | slope), values, time_windows_s).drop(*same, "_dm", "_of"), [*adds, *cuts, *slope]
 
 
-def add_smoothed_features(df: DataFrame, *, halflives_s: tuple[float, ...] = (5.0, 30.0)) -> tuple[DataFrame, list[str]]:
+def add_smoothed_features(df: DataFrame, *, halflives_s: Seconds = LONG) -> Built:
     """Exponentially weighted means, by time, of the microprice gap, imbalance, order flow and order flow by depth."""
     require(df, ("micro_gap_ticks", "ofi", "imbalance_l1"), "add_smoothed_features", SCALARS)
     df = df.withColumn("_deep", F.col("ofi") / (F.lit(1.0) + list_sum("bids_size") + list_sum("asks_size")))
@@ -144,7 +145,7 @@ def add_smoothed_features(df: DataFrame, *, halflives_s: tuple[float, ...] = (5.
     return df.withColumns({c: F.coalesce(F.col(c), F.lit(0.0)) for c in names}).drop("_deep"), names
 
 
-def add_perlevel_features(df: DataFrame, *, levels: int = LEVELS) -> tuple[DataFrame, list[str]]:
+def add_perlevel_features(df: DataFrame, *, levels: int = LEVELS) -> Built:
     """Of each level its imbalance, order flow and share of all size, level by level."""
     df = df.withColumns(level_flows(df, range(1, levels + 1), "pl_ofi_")).withColumn("_tot", list_sum("bids_size") + list_sum("asks_size"))
     out = {}

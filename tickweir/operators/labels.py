@@ -7,16 +7,17 @@ from pyspark.sql import functions as F
 
 from tickweir.functions.expr import known
 from tickweir.functions.frames import drop_sums, first_at_or_after, rows, window_sums
-from tickweir.schema import NS, nanos, require
+from tickweir.schema import NS, Count, Maybe, nanos, require
 
 
-def add_forward_target(df: DataFrame, *, horizon_s: float | None = None, horizon_events: int | None = None, avg_window_s: float | None = None, price_col: str = "microprice", max_stale_s: float | None = None) -> DataFrame:
+def add_forward_target(df: DataFrame, *, price_col: str = "microprice", horizon_events: Count = None, horizon_s: Maybe = None, max_stale_s: Maybe = None, avg_window_s: Maybe = None) -> DataFrame:
     """Adds y_fwd, the price's forward change, and fwd_dt_s, the seconds it took; rows without one go.
 
     horizon_s: the first row at or after t + horizon, unless it is later than that by more than max_stale_s.
     horizon_events: the row so many rows ahead. avg_window_s: the mean over (t, t + window] of the known prices.
     Exactly one of the three is given."""
-    if sum(x is not None for x in (horizon_s, horizon_events, avg_window_s)) != 1:
+    given = [avg_window_s, horizon_events, horizon_s]
+    if given.count(None) != len(given) - 1:
         raise ValueError("give one of horizon_s, horizon_events and avg_window_s")
     require(df, (price_col,), "add_forward_target", "build the features that hold the price first")
     px = known(F.col(price_col).cast("double"))

@@ -19,10 +19,13 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tickweir.schema import Maybe
+
 NAMES = {
-    "tcn": "tcn", "deeplob": "deeplob", "attention": "axial", "axial": "axial", "axialattentionlob": "axial",
-    "perlevel": "perlevel", "perlevellob": "perlevel", "seqlstm": "lstm", "lstm": "lstm",
+    "tcn": "tcn", "deeplob": "deeplob", **dict.fromkeys(("attention", "axial", "axialattentionlob"), "axial"),
+    **dict.fromkeys(("perlevel", "perlevellob"), "perlevel"), **dict.fromkeys(("seqlstm", "lstm"), "lstm"),
 }
+Rows = tuple[np.ndarray, np.ndarray]
 CHANNELS = 3  # of a level: imbalance, order flow, share of size
 
 
@@ -32,7 +35,7 @@ def torch_module() -> Any:
     return importlib.import_module("torch")
 
 
-def build_model(name: str, *, n_features: int, seq_len: int, out_dim: int = 1) -> Any:
+def build_model(name: str, *, out_dim: int = 1, seq_len: int, n_features: int) -> Any:
     """A network from (batch, seq_len, n_features) to (batch, out_dim). ValueError for an unknown name, ImportError
     without torch."""
     kind = NAMES.get(name.lower())
@@ -142,18 +145,18 @@ def _classes(torch: Any) -> dict[str, Any]:
 class TrainConfig:
     """Training by Adam with early stopping on the latest val_frac of the rows."""
 
+    seed: int = 0
+    device: str = "cpu"
+    val_frac: float = 0.15
+    patience: int = 4
     epochs: int = 15
-    batch_size: int = 1024
     lr: float = 1e-3
-    weight_decay: float = 1e-5
-    patience: int = 4
-    val_frac: float = 0.15
-    device: str = "cpu"
-    seed: int = 0
+    batch_size: int = 1024
     max_grad_norm: float = 1.0
+    weight_decay: float = 1e-5
     loss: str = "mse"  # or "huber"
+    target_clip: Maybe = None  # in deviations of the target
     huber_delta: float = 1.0
-    target_clip: float | None = None  # in deviations of the target
     class_weight: str | None = None  # or "balanced"
 
 
@@ -166,7 +169,7 @@ class Trained:
     history: dict[str, list[float]] = field(default_factory=dict)
 
 
-def target_scale(y: np.ndarray, clip: float | None = None) -> tuple[np.ndarray, float, float]:
+def target_scale(y: np.ndarray, clip: Maybe = None) -> tuple[np.ndarray, float, float]:
     """The target in deviations from its mean, clipped, with the mean and the deviation (1 for a constant)."""
     mean, std = float(np.mean(y)), float(np.std(y))
     std = std if std > 1e-12 else 1.0
@@ -179,7 +182,7 @@ def balanced_weights(y: np.ndarray, k: int) -> np.ndarray:
     return len(y) / (k * np.maximum(n, 1))
 
 
-def time_split(ts: np.ndarray, val_frac: float) -> tuple[np.ndarray, np.ndarray]:
+def time_split(ts: np.ndarray, val_frac: float) -> Rows:
     """Places of the rows to fit on and of the latest ones, by time whatever their order."""
     order = np.argsort(ts, kind="stable")
     n = max(1, int(val_frac * len(ts)))
@@ -203,12 +206,13 @@ def fit(net: Any, windows: DataFrame, cfg: TrainConfig, *, classes: bool = False
     else:
         z, mean, std = target_scale(rows["y"].to_numpy(float), cfg.target_clip)
         y = torch.tensor(z)
-        loss_of = torch.nn.HuberLoss(delta=cfg.huber_delta) if cfg.loss == "huber" else torch.nn.MSELoss()
+        nn = torch.nn
+        loss_of = {"mse": nn.MSELoss, "huber": lambda: nn.HuberLoss(delta=cfg.huber_delta)}[cfg.loss]()
     run = lambda at: loss_of(net(x[at].to(cfg.device)) if classes else net(x[at].to(cfg.device)).squeeze(-1), y[at].to(cfg.device))
-    adam = torch.optim.Adam(net.parameters(), lr=cfg.lr, weight_decay=cfg.weight_decay)
+    adam = torch.optim.Adam(net.parameters(), weight_decay=cfg.weight_decay, lr=cfg.lr)
     shuffle = np.random.default_rng(cfg.seed)
     best, state, waited = float("inf"), None, 0
-    log: dict[str, list[float]] = {"train_loss": [], "val_loss": [], "grad_norm": []}
+    log: dict[str, list[float]] = {k: [] for k in ("train_loss", "val_loss", "grad_norm")}
     for _ in range(cfg.epochs):
         net.train()
         seen = 0.0

@@ -11,7 +11,7 @@ from tickweir.functions.expr import finite, known
 from tickweir.schema import nanos
 
 
-def fold_bounds(df: DataFrame, *, n_folds: int, horizon_s: float, embargo_mult: float = 1.0) -> DataFrame:
+def fold_bounds(df: DataFrame, *, embargo_mult: float = 1.0, horizon_s: float, n_folds: int) -> DataFrame:
     """A row a fold: fold (from 1), test_lo, test_hi (not included, but in the last fold), train_end (not included).
 
     Folds share the span of all decision times in whole nanoseconds; training ends embargo_mult * horizon_s before the
@@ -33,7 +33,7 @@ def in_test(b: dict | None = None) -> Column:
     return (F.col("timestamp_ns") >= lo) & (F.col("timestamp_ns") < hi)
 
 
-def walk_forward(df: DataFrame, *, n_folds: int, horizon_s: float, embargo_mult: float = 1.0) -> DataFrame:
+def walk_forward(df: DataFrame, *, embargo_mult: float = 1.0, horizon_s: float, n_folds: int) -> DataFrame:
     """Each row once for each fold that uses it, with fold and role ("train" or "test"). Bounds are n_folds rows."""
     bounds = fold_bounds(df, n_folds=n_folds, horizon_s=horizon_s, embargo_mult=embargo_mult)
     role = F.when(in_test(), "test").when(in_train(), "train")
@@ -56,7 +56,7 @@ class Fold:
         return df.filter(in_test(vars(self)))
 
 
-def walk_forward_splits(df: DataFrame, *, n_folds: int, horizon_s: float, embargo_mult: float = 1.0) -> list[Fold]:
+def walk_forward_splits(df: DataFrame, *, embargo_mult: float = 1.0, horizon_s: float, n_folds: int) -> list[Fold]:
     """The folds that have training and test rows; ValueError if there is none."""
     bounds = [Fold(*r) for r in fold_bounds(df, n_folds=n_folds, horizon_s=horizon_s, embargo_mult=embargo_mult).orderBy("fold").collect() if r["test_lo"] is not None]
     counts = df.agg(*[F.count_if(c(vars(b))).alias(f"{n}{b.number}") for b in bounds for n, c in (("a", in_train), ("b", in_test))]).first() if bounds else {}

@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tickweir.functions.frames import rows
-from tickweir.schema import NS
+from tickweir.schema import ACTIVE, NS, TIERS
 
 def minutes() -> Column:
     """From a group's first row to its last."""
@@ -22,7 +22,7 @@ def tier(value: str, n_tiers: int) -> Column:
     return F.least(place, F.lit(n_tiers - 1)).cast("int")
 
 
-def add_liquidity_tier(df: DataFrame, n_tiers: int = 3) -> DataFrame:
+def add_liquidity_tier(df: DataFrame, n_tiers: int = TIERS) -> DataFrame:
     """Adds updates_per_min and liq_tier of each row's market."""
     rate = df.groupBy("market_id").agg((F.count("*") / F.greatest(minutes(), F.lit(1e-9))).alias("updates_per_min"))
     return df.join(rate.withColumn("liq_tier", tier("updates_per_min", n_tiers)), "market_id", "left")
@@ -35,7 +35,7 @@ def market_activity(df: DataFrame, *, eps: float = 1e-12) -> DataFrame:
     return per.withColumn("mid_moves_per_min", F.col("n_mid_moves") / F.greatest(F.col("_minutes"), F.lit(1e-9)))
 
 
-def add_activity_tier(df: DataFrame, n_tiers: int = 3, *, min_mid_moves: int = 10) -> DataFrame:
+def add_activity_tier(df: DataFrame, n_tiers: int = TIERS, *, min_mid_moves: int = ACTIVE) -> DataFrame:
     """Markets with at least min_mid_moves mid changes, with n_mid_moves, mid_moves_per_min and act_tier; ValueError if
     there is none."""
     active = market_activity(df).filter(F.col("n_mid_moves") >= min_mid_moves)
@@ -44,5 +44,5 @@ def add_activity_tier(df: DataFrame, n_tiers: int = 3, *, min_mid_moves: int = 1
     return df.join(active.drop("_minutes").withColumn("act_tier", tier("mid_moves_per_min", n_tiers)), "market_id")
 
 
-def top_tier(df: DataFrame, n_tiers: int = 3, *, min_mid_moves: int = 10) -> DataFrame:
+def top_tier(df: DataFrame, n_tiers: int = TIERS, *, min_mid_moves: int = ACTIVE) -> DataFrame:
     return add_activity_tier(df, n_tiers, min_mid_moves=min_mid_moves).filter(F.col("act_tier") == n_tiers - 1)

@@ -8,10 +8,10 @@ from pyspark.sql import functions as F
 
 from tickweir.functions.frames import order_of, rows
 from tickweir.operators.splits import Scaler, clean_features
-from tickweir.schema import nanos, require
+from tickweir.schema import Count, Maybe, nanos, require
 
 
-def eligible(df: DataFrame, *, seq_len: int, max_window_span_s: float | None = None, min_window_mid_moves: int | None = None) -> DataFrame:
+def eligible(df: DataFrame, *, min_window_mid_moves: Count = None, max_window_span_s: Maybe = None, seq_len: int) -> DataFrame:
     """Rows at which a window of seq_len rows of their market ends; guards drop windows that span more than
     max_window_span_s or see fewer than min_window_mid_moves mid changes after their first row."""
     w = rows(df)
@@ -29,7 +29,7 @@ def eligible(df: DataFrame, *, seq_len: int, max_window_span_s: float | None = N
     return df.withColumn("_keep", keep)
 
 
-def make_windows(df: DataFrame, feat_cols: list[str], *, seq_len: int, scaler: Scaler | None = None, max_window_span_s: float | None = None, min_window_mid_moves: int | None = None) -> DataFrame:
+def make_windows(df: DataFrame, feat_cols: list[str], *, scaler: Scaler | None = None, seq_len: int, min_window_mid_moves: Count = None, max_window_span_s: Maybe = None) -> DataFrame:
     """A row a window: market_id, timestamp_ns, x (seq_len vectors of the features, floats, oldest first), y_fwd, and
     y_cls where the table has it. Windows never cross markets; null and NaN are 0 after scaling. The arrays are made of
     the needed columns only, after the market's rows are in place; for models of the last row use `snapshots`."""

@@ -6,6 +6,7 @@ import logging
 from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
+from itertools import product
 from typing import Any
 
 from pyspark.sql import DataFrame
@@ -58,7 +59,7 @@ COMPARISON = Settings(seq_len=24, n_folds=3, alpha=0.002, subsample=80_000)
 TARGETS = Settings(seq_len=24, n_folds=3, alpha=0.002, subsample=60_000)
 DIAGNOSIS = Settings(seq_len=24, n_folds=3, alpha=0.002, subsample=100_000)
 #: Price that the label is of, feature set.
-PHASES = {"0": ("mid", "levels"), "1": ("microprice", "levels"), "2": ("microprice", "grid"), "3": ("microprice", "grid+scalar"), "4": ("microprice", "extended"), "5": ("microprice", "extended+trades")}
+PHASES = {"0": ("mid", "levels")} | {str(i): ("microprice", kind) for i, kind in enumerate(("levels", "grid", "grid+scalar", "extended", "extended+trades"), 1)}
 
 
 def add_extended(df: DataFrame) -> tuple[DataFrame, list[str]]:
@@ -202,12 +203,11 @@ def target_study(pool: DataFrame, s: Settings = TARGETS, horizons: tuple[float,
     out is left out with a warning. Directional hits aren't given for classes, as the labels there carry no moves."""
     df, feats = with_all_features(pool, s, trades)
     cells = []
-    for h in horizons:
-        for mode in ("point", "smooth"):
-            try:
-                cells.append(target_cell(df, feats, mode, h, s))
-            except ValueError as e:
-                log.warning("horizon %s, %s: %s", h, mode, e)
+    for h, mode in product(horizons, ("point", "smooth")):
+        try:
+            cells.append(target_cell(df, feats, mode, h, s))
+        except ValueError as e:
+            log.warning("horizon %s, %s: %s", h, mode, e)
     if not cells:
         raise ValueError("no cell could be worked out")
     return pool.sparkSession.createDataFrame(cells, "horizon_s double, target string, wall_s double, n bigint, corr double, hit_rate double, accuracy double, macro_f1 double")

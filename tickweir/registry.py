@@ -11,6 +11,7 @@ from tickweir.functions.expr import at
 from tickweir.functions.ranks import quantiles
 from tickweir.operators import attribution, base, diagnostics, extended, labels, metrics, models, splits, tiers, windows
 from tickweir.plans import studies
+from tickweir.schema import QUOTE
 from tickweir.sources import synthetic
 from tickweir.sources.events import book_from_events, trades_from_events
 from tickweir.sources.files import LoadConfig, clean, drop_tail, min_rows
@@ -52,13 +53,13 @@ def features(add: Callable, digits: int = 6, only: Callable[[str], bool] | None
 
 
 MICRO = ["microprice", "imbalance_l1", *[f"{c}_l{n}" for n in base.DEPTHS for c in ("bid_size", "ask_size", "imbalance", "microprice")]]
-SCALED = ["ofi", "imbalance_l1", "imbalance_l3", "micro_gap_ticks", "spread_ticks"]
+SCALED = ["ofi", *base.IMBALANCES[:2], "micro_gap_ticks", "spread_ticks"]
 
 
 def book_rows(s: SparkSession, d: str) -> DataFrame:
     cells = [rounded(at(c, k - 1)).alias(f"{n}_{k}") for n, c in (("bp", "bids_price"), ("bs", "bids_size"), ("ap", "asks_price"), ("az", "asks_size")) for k in range(1, 6)]
     b = book(s, d)
-    return b.select(*KEYS, *[rounded(c).alias(c) for c in ("bid_price", "bid_size", "ask_price", "ask_size", "mid", "spread")], *cells)
+    return b.select(*KEYS, *[rounded(c).alias(c) for c in (*QUOTE, "mid", "spread")], *cells)
 
 
 def trade_features(s: SparkSession, d: str) -> DataFrame:

@@ -11,11 +11,23 @@ NS = 1_000_000_000
 TICK = 0.01
 LEVELS = 5
 
+QUOTE = tuple(f"{side}_{what}" for side in ("bid", "ask") for what in ("price", "size"))
+LADDERS = tuple(f"{side}s_{what}" for side in ("bid", "ask") for what in ("price", "size"))
+
+#: Lengths of time in seconds; a length of time, or a count, that may be left out.
+Seconds = tuple[float, ...]
+Maybe = float | None
+Count = int | None
+SHORT: Seconds = (1.0, 5.0, 30.0)
+LONG: Seconds = (5.0, 30.0)
+TIERS = 3
+ACTIVE = 10  # mid changes that make a market active
+
 _D, _A = T.DoubleType(), T.ArrayType(T.DoubleType())
 BOOK = T.StructType(
     [T.StructField("market_id", T.StringType()), T.StructField("timestamp_ns", T.LongType())]
-    + [T.StructField(c, _D) for c in ("bid_price", "bid_size", "ask_price", "ask_size", "mid", "spread")]
-    + [T.StructField(c, _A) for c in ("bids_price", "bids_size", "asks_price", "asks_size")]
+    + [T.StructField(c, _D) for c in (*QUOTE, "mid", "spread")]
+    + [T.StructField(c, _A) for c in LADDERS]
 )
 TRADES = T.StructType(
     [T.StructField("market_id", T.StringType()), T.StructField("timestamp_ns", T.LongType()), T.StructField("price", _D), T.StructField("size", _D), T.StructField("side", T.LongType())]

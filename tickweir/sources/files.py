@@ -16,6 +16,7 @@ from tickweir.schema import BOOK, TRADES, nanos
 
 log = logging.getLogger(__name__)
 TAPE = ".trades.parquet"
+Bounds = tuple[float, float] | None
 
 
 @dataclass
@@ -23,12 +24,12 @@ class LoadConfig:
     """What to load and how to clean it. price_bounds are those of a bounded-price venue, None for any other."""
 
     roots: Sequence[str] = field(default_factory=list)
-    market_ids: Sequence[str] | None = None
     min_rows: int = 2000
-    require_two_sided: bool = True
-    price_bounds: tuple[float, float] | None = None
-    corner_eps: float = 0.0
     tail_drop_s: float = 0.0
+    corner_eps: float = 0.0
+    price_bounds: Bounds = None
+    market_ids: Sequence[str] | None = None
+    require_two_sided: bool = True
 
 
 def discover(roots: str | Path | Iterable[str | Path], tapes: bool) -> list[str]:
@@ -102,10 +103,11 @@ def clean(pool: DataFrame, cfg: LoadConfig) -> DataFrame:
     """Drop dead books and, for bounded prices, those near the bounds and each market's last seconds."""
     pool = pool.filter(F.col("mid").isNotNull() & F.col("spread").isNotNull())
     if cfg.require_two_sided:
-        pool = pool.filter((F.col("bid_size") > 0) & (F.col("ask_size") > 0))
-    if cfg.price_bounds is not None and cfg.corner_eps > 0:
+        pool = pool.filter("bid_size > 0 AND ask_size > 0")
+    if cfg.corner_eps > 0 and cfg.price_bounds:
         low, high = cfg.price_bounds
-        pool = pool.filter((F.col("mid") > low + cfg.corner_eps) & (F.col("mid") < high - cfg.corner_eps))
+        inside = F.col("mid") > F.lit(low + cfg.corner_eps), F.col("mid") < F.lit(high - cfg.corner_eps)
+        pool = pool.filter(inside[0] & inside[1])
     return drop_tail(pool, cfg.tail_drop_s) if cfg.tail_drop_s > 0 else pool
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from pathlib import Path
 
 import numpy as np
@@ -10,10 +11,11 @@ from pyspark.sql import functions as F
 
 from tickweir.schema import BOOK, NS
 
+Paths = str | Path | Sequence[str | Path]
 LEVELS, CELLS = 10, 40
 
 
-def load_matrix(spark: SparkSession, mat: np.ndarray, *, market_id: str = "FI2010", dt_s: float = 1.0, t_start_ns: int = 0) -> DataFrame:
+def load_matrix(spark: SparkSession, mat: np.ndarray, *, t_start_ns: int = 0, dt_s: float = 1.0, market_id: str = "FI2010") -> DataFrame:
     """A matrix as a book: rows 4k .. 4k + 3 are level k's ask price, ask size, bid price and bid size; event i is at
     t_start_ns + i * dt_s. ValueError where there are fewer rows than ten levels need."""
     if mat.shape[0] < CELLS:
@@ -27,16 +29,14 @@ def load_matrix(spark: SparkSession, mat: np.ndarray, *, market_id: str = "FI201
     return book.withColumns({"mid": (F.col("bid_price") + F.col("ask_price")) / 2, "spread": F.col("ask_price") - F.col("bid_price")}).select(*BOOK.names)
 
 
-def load_file(spark: SparkSession, path: str | Path, *, market_id: str | None = None, dt_s: float = 1.0, t_start_ns: int = 0) -> DataFrame:
+def load_file(spark: SparkSession, path: str | Path, *, t_start_ns: int = 0, dt_s: float = 1.0, market_id: str | None = None) -> DataFrame:
     return load_matrix(spark, np.loadtxt(path), market_id=market_id or Path(path).stem, dt_s=dt_s, t_start_ns=t_start_ns)
 
 
-def load(spark: SparkSession, paths: str | Path | list, *, dt_s: float = 1.0) -> DataFrame:
+def load(spark: SparkSession, paths: Paths, *, dt_s: float = 1.0) -> DataFrame:
     """Files, or a folder's .txt files, one market each, on the same clock."""
-    if isinstance(paths, (str, Path)):
-        files = sorted(Path(paths).glob("*.txt")) if Path(paths).is_dir() else [Path(paths)]
-    else:
-        files = [Path(p) for p in paths]
+    given = list(paths) if not isinstance(paths, (str, Path)) else [paths]
+    files = [f for p in map(Path, given) for f in (sorted(p.glob("*.txt")) if p.is_dir() else [p])]
     if not files:
         raise FileNotFoundError(f"no .txt matrix at {paths}")
     out = load_file(spark, files[0], dt_s=dt_s)
@@ -45,7 +45,7 @@ def load(spark: SparkSession, paths: str | Path | list, *, dt_s: float = 1.0) ->
     return out
 
 
-def write_parquets(spark: SparkSession, paths: str | Path | list, out_dir: str | Path, *, dt_s: float = 1.0) -> str:
+def write_parquets(spark: SparkSession, paths: Paths, out_dir: str | Path, *, dt_s: float = 1.0) -> str:
     """Each market as <market>.parquet below out_dir."""
     pool = load(spark, paths, dt_s=dt_s)
     for (m,) in pool.select("market_id").distinct().collect():

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-NS = 1_000_000_000
+from tickweir.schema import NS, QUOTE
+
 LADDER = range(5)
 
 
@@ -53,7 +54,7 @@ def flow(bp: str, bs: str, ap: str, az: str) -> tuple[str, str]:
     return bid, ask
 
 
-_B, _A = flow("bid_price", "bid_size", "ask_price", "ask_size")
+_B, _A = flow(*QUOTE)
 SCALAR = f"""s AS (SELECT *, delta_bid + delta_ask AS ofi, (microprice - mid) / 0.01::DOUBLE AS micro_gap_ticks, spread / 0.01::DOUBLE AS spread_ticks
     FROM (SELECT *, {_B} AS delta_bid, {_A} AS delta_ask FROM m WINDOW w AS ({_W})))"""
 
@@ -81,12 +82,13 @@ BASE = [BOOK, MICRO, SCALAR]
 WIN = f"WINDOW w AS ({_W}), " + ", ".join(back(s, f"t{s}") for s in (1, 5, 30))
 
 SQL: dict[str, str] = {}
+_IMB, _GAPS = [f"imbalance_l{n}" for n in (1, 3, 5)], ["micro_gap_ticks", "spread_ticks"]
 _MICRO_COLS = ["microprice", "imbalance_l1", *[f"{c}_l{n}" for n in (3, 5, 10) for c in ("bid_size", "ask_size", "imbalance", "microprice")]]
-SQL["book"] = query([BOOK], plain(["bid_price", "bid_size", "ask_price", "ask_size", "mid", "spread"]) | {f"{n}_{k}": f"{c}[{k}]" for n, c in (("bp", "bp"), ("bs", "bs"), ("ap", "ap"), ("az", "asz")) for k in range(1, 6)}, "b")
+SQL["book"] = query([BOOK], plain([*QUOTE, "mid", "spread"]) | {f"{n}_{k}": f"{c}[{k}]" for n, c in (("bp", "bp"), ("bs", "bs"), ("ap", "ap"), ("az", "asz")) for k in range(1, 6)}, "b")
 SQL["trades"] = query([BOOK], plain(["price", "size"]), "tr", keys="market_id, timestamp_ns, CAST(side AS BIGINT) AS side")
 SQL["microstructure"] = query([BOOK, MICRO], plain(_MICRO_COLS), "m")
 SQL["ofi"] = query(BASE, plain(["delta_bid", "delta_ask", "ofi"]), "s")
-SQL["scalar"] = query(BASE, plain(["ofi", "imbalance_l1", "imbalance_l3", "imbalance_l5", "micro_gap_ticks", "spread_ticks"]), "s")
+SQL["scalar"] = query(BASE, plain(["ofi", *_IMB, *_GAPS]), "s")
 SQL["paper_levels"] = query(
     [BOOK], {f"{s}_{p}_{k}": f"coalesce({c}[{k}], {d})" for s, cs in (("bid", (("px", "bp", "bid_price"), ("sz", "bs", "0"))), ("ask", (("px", "ap", "ask_price"), ("sz", "asz", "0")))) for k in range(1, 6) for p, c, d in cs}, "b"
 )
@@ -98,7 +100,7 @@ SQL["grid"] = query([BOOK, _GRID], {f"{s}_grid_{k}": f"coalesce({s}_grid_{k} / t
 SQL["grid_clipped"] = f"WITH {BOOK}, {_GRID} SELECT side, count(*) AS n_levels, round(1 - count(*) FILTER (WHERE o BETWEEN 0 AND 2) / count(*)::DOUBLE, 6) AS clipped FROM o GROUP BY side"
 SQL["stationary"] = query(
     BASE,
-    plain(["imbalance_l1", "imbalance_l3", "imbalance_l5", "microprice", "microprice_l3", "microprice_l5", "ofi", "micro_gap_ticks", "spread_ticks"])
+    plain([*_IMB, *[f"microprice{n}" for n in ("", "_l3", "_l5")], "ofi", *_GAPS])
     | {f"{s}_{n}_{k}": f"coalesce({x.format(k=k)}, 0)" for s, p, z in (("bid", "bp", "bs"), ("ask", "ap", "asz")) for k in range(1, 6) for n, x in (("relpx", f"({p}[{{k}}] - mid) / 0.01"), ("relsz", f"{z}[{{k}}] / nullif(list_sum({z}), 0)"))},
     "s",
 )
@@ -220,7 +222,7 @@ SQL["whitelist"] = f"WITH {BOOK} SELECT market_id, count(*) AS n, count(DISTINCT
 _FOLDS = "z AS (SELECT min(timestamp_ns) AS t0, max(timestamp_ns) AS t1 FROM b), bd AS (SELECT k AS fold, t0 + ((t1 - t0) * (k - 1)) // 4 AS lo, CASE WHEN k = 4 THEN t1 + 1 ELSE t0 + ((t1 - t0) * k) // 4 END AS hi FROM z, range(1, 5) r(k))"
 SQL["walk_forward"] = f"""WITH {BOOK}, {_FOLDS} SELECT CAST(fold AS INT) AS fold, role, count(*) AS n, min(timestamp_ns) AS first, max(timestamp_ns) AS last FROM
     (SELECT *, CASE WHEN timestamp_ns >= lo AND timestamp_ns < hi THEN 'test' WHEN timestamp_ns < lo - {30 * NS} THEN 'train' END AS role FROM b, bd) WHERE role IS NOT NULL GROUP BY ALL"""
-_SC = ["ofi", "imbalance_l1", "imbalance_l3", "micro_gap_ticks", "spread_ticks"]
+_SC = ["ofi", *_IMB[:2], *_GAPS]
 SQL["scaler"] = f"WITH {', '.join(BASE)}, {_FOLDS}, x AS (SELECT s.* FROM s, bd WHERE fold = 2 AND timestamp_ns < lo - {30 * NS}) " + " UNION ALL ".join(f"SELECT '{c}' AS feature, round(avg({c}), 6) + 0.0 AS mean, round(stddev_pop({c}), 6) AS std FROM x" for c in _SC)
 _SPAN = f"wn AS (SELECT *, row_number() OVER w AS rn, lag(timestamp_ns, 15) OVER w AS ts0, sum(coalesce((abs(dmid) > 1e-12)::INT, 0)) OVER (w ROWS BETWEEN 14 PRECEDING AND CURRENT ROW) AS moves FROM mv WINDOW w AS ({_W}))"
 SQL["windows_span"] = f"WITH {', '.join(BASE + _MOVES)}, {_SPAN} SELECT market_id, timestamp_ns, seq FROM wn WHERE rn >= 16 AND timestamp_ns - ts0 <= {18 * NS}"

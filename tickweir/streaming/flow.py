@@ -15,11 +15,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from tickweir.schema import NS, require
+from tickweir.schema import NS, QUOTE, require
 
 OUT = "market_id string, timestamp_ns bigint, ofi double, ofi_ewma double"
 STATE = "bp double, bs double, ap double, az double, t bigint, y double"
-QUOTE = ["bid_price", "bid_size", "ask_price", "ask_size"]
 
 
 def step(last: tuple | None, now: tuple) -> float | None:
