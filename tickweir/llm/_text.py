@@ -17,6 +17,7 @@ from tickweir.llm._common import ship
 WORD_RE = r"[a-z0-9\x{C0}-\x{1FFF}\x{2070}-\x{2FFF}\x{3040}-\x{10FFFF}]+"
 
 U64 = np.uint64
+Pair = tuple[np.ndarray, np.ndarray]
 _RNG = np.random.default_rng(20240229)
 BYTE_A = _RNG.integers(1, 2**64, 256, dtype=U64) | U64(1)
 BYTE_B = _RNG.integers(1, 2**64, 256, dtype=U64) | U64(1)
@@ -47,7 +48,7 @@ class Local(dict):
 _POWERS = Local()
 
 
-def powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
+def powers(base: int, n: int) -> Pair:
     """base**i and base**-i modulo 2**64 for i < n."""
     held = _POWERS.get(base)
     if held is None or len(held[0]) < n:
@@ -90,7 +91,7 @@ def lower(col: pa.Array) -> pa.Array:
         return pc.ascii_lower(col)
 
 
-def buffers(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+def buffers(col: pa.Array) -> Pair:
     """The bytes of a large string array and its offsets, from 0."""
     off = np.frombuffer(col.buffers()[1], np.int64, len(col) + 1, col.offset * 8)
     data = col.buffers()[2]
@@ -169,13 +170,13 @@ def blocks(col: pa.Array, size: int = BLOCK):
         a = b
 
 
-def ids_of(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+def ids_of(col: pa.Array) -> Pair:
     """An id column as int64, and which are null (0 there)."""
     null = pc.is_null(col).to_numpy(zero_copy_only=False)
     return pc.fill_null(col, 0).to_numpy(zero_copy_only=False).astype(np.int64), null
 
 
-def gather(buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def gather(buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> Pair:
     """The spans one after another, and their offsets."""
     size = end - start
     off = np.empty(len(size) + 1, np.int64)

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tickweir.llm._common import DOC_COLUMNS, discard, materialise, partitions, pick, ship
-from tickweir.llm._text import BYTE_B, MULT_A, MULT_B, U64, Words, blocks, gram_hash, ids_of, mix, span_hash
+from tickweir.llm._text import blocks, BYTE_B, gram_hash, ids_of, mix, MULT_A, MULT_B, Pair, span_hash, U64, Words
 
 SHINGLE = 3  # words
 REGISTERS, BASE, RATE, TOP = 124, 1.001, 20.0, 65534
@@ -21,12 +21,12 @@ NODE = "node binary, sketch binary, n int"
 CONTENT_SEED = U64(0x51ED270B0F1F3A77)
 
 
-def parameters() -> tuple[np.ndarray, np.ndarray]:
+def parameters() -> Pair:
     rng = np.random.default_rng(7)
     return rng.integers(0, 2**32, REGISTERS, dtype=np.uint32) | np.uint32(1), rng.integers(0, 2**32, REGISTERS, dtype=np.uint32)
 
 
-def shingles(words: Words) -> tuple[np.ndarray, np.ndarray]:
+def shingles(words: Words) -> Pair:
     """Hashes of the word shingles of a block's documents, and where each document's begin. A document of fewer words
     has one, the whole of it; one without words has none."""
     h = words.hashes()

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tickweir.llm._common import partitions, pick, ship
 from tickweir.llm._runs import FOUND, PACKED, Bucket, anchors, by_bucket, packer, spans
-from tickweir.llm._text import Words, blocks
+from tickweir.llm._text import blocks, Pair, Words
 
 SIZE, K, SPREAD = 50, 6, 16
 KEY = 48  # bytes of the leading tokens that order the suffixes
@@ -26,7 +26,7 @@ def leading(words: Words, at: np.ndarray, k: int) -> np.ndarray:
     return out.view(f"S{KEY}").ravel()
 
 
-def multikey_sort(b: Bucket) -> tuple[np.ndarray, np.ndarray]:
+def multikey_sort(b: Bucket) -> Pair:
     """Windows that share all symbols with another, sorted, and their groups.
 
     Multikey quicksort, all parts of a depth at a time: windows are parted by their first symbol (SYMBOL words); a

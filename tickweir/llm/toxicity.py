@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tickweir.llm._common import DOC_COLUMNS, pick, ship
-from tickweir.llm._text import BYTE_A, MULT_A, U64, Words, blocks, buffers, mix, powers
+from tickweir.llm._text import blocks, buffers, BYTE_A, mix, MULT_A, Pair, powers, U64, Words
 
 BITS = 18  # hashed features: words and their first 4 and 5 bytes
 SAMPLE = 6000  # labelled documents that the models are fitted on
@@ -160,7 +160,7 @@ class Chain:
             self.cuts.append(cut_of(sigmoid(oof), y))
             x = np.c_[x, sigmoid(oof)]
 
-    def score(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    def score(self, texts: pa.Array) -> Pair:
         """Probabilities, a row a document, a column a category; and which documents have words."""
         out, worded = np.zeros((len(texts), len(self.names))), np.zeros(len(texts), bool)
         for a, b, d, h, x in features(texts):
