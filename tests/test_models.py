@@ -125,7 +125,7 @@ def test_staged_attribution_and_feature_sets(spark, planted):
     count = lambda kind, **kw: len(studies.build_features(planted, kind, studies.Settings(), **kw)[1])
     assert [count(k) for k in ("levels", "grid", "grid+scalar", "extended")] == [20, 40, 46, 96]
     _, trades = synthetic.generate_with_trades(spark, n_markets=4, minutes=25.0, seed=4, kappa=1.0)
-    assert count("extended+trades", trades=trades) == 106 and count("grid", scalars_in_grid=True) == 46
+    assert count("extended+trades", trades=trades) == 106 and count("grid", scalars_in_grid=True) == 46 and count("combined") == 96 + 20 + 15
     with pytest.raises(ValueError):
         studies.build_features(planted, "extended+trades", s)
 

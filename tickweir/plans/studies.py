@@ -21,6 +21,7 @@ from tickweir.operators.extended import (
     add_flow_features,
     add_history_features,
     add_impact_features,
+    add_perlevel_features,
     add_shape_features,
     add_smoothed_features,
     add_trade_features,
@@ -72,8 +73,9 @@ def add_extended(df: DataFrame) -> tuple[DataFrame, list[str]]:
 
 
 def build_features(df: DataFrame, kind: str, s: Settings, trades: DataFrame | None = None, *, scalars_in_grid: bool = False) -> tuple[DataFrame, list[str]]:
-    """A feature set by name. "grid" holds the grid alone; with scalars_in_grid it also holds the scalars, as "grid+scalar"
-    does."""
+    """A feature set by name: "levels", "grid", "grid+scalar", "extended", "extended+trades", or "combined", the extended
+    set with raw and per-level features. "grid" holds the grid alone; with scalars_in_grid it also holds the scalars, as
+    "grid+scalar" does."""
     if kind == "levels":
         df, feats = add_paper_features(df)
         return add_scalar_features(df)[0], feats
@@ -81,9 +83,13 @@ def build_features(df: DataFrame, kind: str, s: Settings, trades: DataFrame | No
     df, scalars = add_scalar_features(df)
     if kind != "grid" or scalars_in_grid:
         feats = feats + scalars
-    if kind.startswith("extended"):
+    if kind.startswith("extended") or kind == "combined":
         df, more = add_extended(df)
         feats = feats + more
+    if kind == "combined":
+        for add in (add_paper_features, add_perlevel_features):
+            df, more = add(df)
+            feats = feats + more
     if kind.endswith("+trades"):
         if trades is None or trades.isEmpty():
             raise ValueError("this phase needs trades and there are none")
