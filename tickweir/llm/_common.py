@@ -61,6 +61,8 @@ def shared_dir(spark: SparkSession, what: str) -> str:
             spark.sparkContext.setCheckpointDir(spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_shared")
             held = jsc.getCheckpointDir()
         root = held.get()
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)  # a path without a scheme is of the default file system
+    root = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(path).toString()
     return f"{root.rstrip('/')}/{what}-{uuid.uuid4().hex}"
 
 
@@ -82,6 +84,13 @@ def materialise(df: DataFrame, what: str) -> DataFrame:
     return held
 
 
+def put(fs: pafs.FileSystem, part: str, target: str) -> None:
+    """Give a finished file its name, in place of what an earlier attempt left there."""
+    if fs.get_file_info(target).type != pafs.FileType.NotFound:
+        fs.delete_file(target)
+    fs.move(part, target)
+
+
 def discard(table: DataFrame) -> None:
     """Delete what `materialise` wrote, once nothing reads it any more."""
     fs, p = filesystem(table._shared)

@@ -8,11 +8,12 @@ import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.parquet as pq
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickweir.llm._common import filesystem, pick, shared_dir, ship
+from tickweir.llm._common import filesystem, pick, put, shared_dir, ship
 
 CHUNK = 1 << 20
 GZIP = 31  # zlib's window bits for a gzip wrapper
@@ -131,12 +132,10 @@ def normalise_file(source_uri: str, target_uri: str, level: int = 1) -> list[tup
             size = member.close()
             rows.append((fields.get("warc-record-id"), fields.get("warc-target-uri"), name, offset, size, length, digest.hexdigest()))
             offset += size
-    to.move(part, target)
+    put(to, part, target)
     sidecar = pa.table({n: pa.array([r[i] for r in rows], pa.string() if i in (0, 1, 2, 6) else pa.int64()) for i, n in enumerate(("record_id", "url", "file", "offset", "length", "n_bytes", "digest"))})
-    import pyarrow.parquet as pq
-
     pq.write_table(sidecar, f"{part}.idx", filesystem=to)
-    to.move(f"{part}.idx", f"{target}.idx.parquet")
+    put(to, f"{part}.idx", f"{target}.idx.parquet")
     return rows
 
 
@@ -201,7 +200,7 @@ def write_monolithic(pages: DataFrame, target: str, level: int = 1) -> DataFrame
                     member.write("\r\n".join(head).encode() + b"\r\n\r\n" + body + b"\r\n\r\n")
                     n += 1
             member.close()
-        to.move(part, f"{p}/{name}")
+        put(to, part, f"{p}/{name}")
         yield pa.RecordBatch.from_arrays([pa.array([f"{target}/{name}"]), pa.array([n], pa.int64())], ["file", "n"])
 
     return pick(pages, "page_id", "url", "html").mapInArrow(work, "file string, n bigint")
@@ -213,7 +212,8 @@ def pages_index(pages: DataFrame) -> DataFrame:
     page_id, url, file, offset, length, n_bytes, digest; one row a page, in no order. A null html is an empty record, a
     null url or page_id stays null; white space in a url is put as single spaces, as a header line can't hold others.
     Repeated rows are records of their own. An empty table gives no rows. Other columns are ignored. The files stay in
-    the shared folder, in "normal", as the result; the monolithic ones go when they have been read."""
+    the shared folder, the result in "normal", and those it was made of, which a repeated task would read again, in
+    "monolithic"."""
     spark = pages.sparkSession
     at = shared_dir(spark, "warc")
     files = [r["file"] for r in write_monolithic(pages, f"{at}/monolithic").collect()]  # one name a file
