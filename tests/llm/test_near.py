@@ -67,6 +67,25 @@ def test_a_group_of_many_unequal_copies(spark):
     assert [len(g) for g in groups(setsketch.near_duplicates(H.docs(spark, pairs, clash=False)))] == [700]
 
 
+def test_a_text_and_the_same_text_several_times_over(spark):
+    rng = np.random.default_rng(3)
+    pairs = []
+    for k, (n, times) in enumerate([(100, 2), (100, 10), (300, 2), (300, 10), (5, 40), (2, 30)]):
+        w = " ".join(f"d{k}x{i}" for i in rng.permutation(n))
+        pairs += [(10 * k, w), (10 * k + 1, " ".join([w] * times))]
+    w = [f"e{i}" for i in range(100)]
+    pairs += [(90, " ".join(w)), (91, " ".join(w + w[:80]))]
+    want = sorted(H.near_groups(pairs, setsketch.THRESHOLD))
+    assert [0, 1] in want and [10, 11] in want and [90, 91] in want
+    assert groups(setsketch.near_duplicates(H.docs(spark, pairs))) == want
+
+
+def test_distinct_shingles():
+    col = pa.array(["", "a b c a b c a b c", "x", None, "a b c d"])
+    h, begin = setsketch.distinct(*setsketch.shingles(Words(col)))
+    assert np.diff(begin).tolist() == [0, 3, 1, 0, 2] and len(h) == begin[-1]
+
+
 def sketch_of(sets):
     col = pa.array([" ".join(map(str, s)) for s in sets])
     h, begin = setsketch.shingles(Words(col))

@@ -46,6 +46,17 @@ def shingles(words: Words) -> Pair:
     return out, begin
 
 
+def distinct(h: np.ndarray, begin: np.ndarray) -> Pair:
+    """Shingles as sets: each document's hashes in order, without repeats, and where each document's begin."""
+    h = h.copy()
+    for a, b in zip(begin[:-1], begin[1:]):
+        h[a:b].sort()
+    new = np.ones(len(h), bool)
+    new[1:] = h[1:] != h[:-1]
+    new[begin[:-1][np.diff(begin) > 0]] = True
+    return h[new], np.concatenate([[0], np.cumsum(new)])[begin]
+
+
 def registers(h: np.ndarray, begin: np.ndarray) -> np.ndarray:
     """SetSketch registers of documents that have shingles, REGISTERS a row: a register is the floor of 1 - log_b of
     the least of as many exponential variables as there are shingles, cut to 0 .. TOP + 1. Registers of a union are the
@@ -85,12 +96,13 @@ def estimate(x: np.ndarray, y: np.ndarray, nx: np.ndarray, ny: np.ndarray) -> np
 
 
 def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc_id, text) to (doc_id, node, sketch, n); node names the normalised text. Texts without words give nothing."""
+    """(doc_id, text) to (doc_id, node, sketch, n); node names the normalised text, n is how many distinct shingles it has.
+    Texts without words give nothing."""
     for batch in batches:
         ids = batch.column(0)
         for a, b in blocks(batch.column(1)):
             words = Words(batch.column(1).slice(a, b - a))
-            h, begin = shingles(words)
+            h, begin = distinct(*shingles(words))
             full = np.flatnonzero(np.diff(begin))
             if not len(full):
                 continue
