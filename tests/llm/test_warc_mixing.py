@@ -170,5 +170,26 @@ def test_shares_of_a_sample_approach_the_targets(spark):
             assert abs(r["t"] / whole - 0.5) < 0.08
 
 
+@pytest.mark.parametrize("given", [{}, {"lang": {"l0": 0.5, "l1": 0.25, "l2": 0.25}}])
+def test_expected_shares_at_the_default_budget_are_the_targets(spark, given):
+    rng = np.random.default_rng(5)
+    size = lambda i, j, k: int(2000 * rng.random() ** 3 * (1, 4, 5)[i] * (1, 5, 30)[j] * (1, 3, 9)[k]) + 20
+    rows = [(f"s{j}", f"l{i}", f"t{k}", size(i, j, k)) for i in range(3) for j in range(3) for k in range(3)]
+    df = spark.createDataFrame(rows, "m_source string, m_lang string, m_topic string, tokens bigint")
+    got = mixing.rake(df, given, bounded=True).toPandas()
+    every, got["x"] = got["tokens"].sum(), got["p"] * got["tokens"]
+    assert (got["p"] == 1).any() and got["p"].between(0, 1).all() and 0 < got["x"].sum() <= mixing.BUDGET * every * 1.001
+    for m in mixing.MARGINS:
+        want = pd.Series(given["lang"]) if given and m == "m_lang" else got.groupby(m)["tokens"].sum().astype(float) ** mixing.POWER
+        assert (got.groupby(m)["x"].sum() / got["x"].sum()).to_dict() == pytest.approx((want / want.sum()).to_dict(), rel=3e-3)
+
+
+def test_a_sample_has_targets_that_half_of_the_tokens_cannot_meet(spark):
+    df = spark.createDataFrame([(i, "w " * 10, "fr" if i % 10 == 0 else "en", "a", 0) for i in range(8000)], H.DOCS)
+    got = mixing.mixture(df, {"lang": {"en": 0.5, "fr": 0.5}}, topic=F.lit("t")).groupBy("lang").agg(F.sum("tokens").alias("t")).collect()
+    t = {r["lang"]: r["t"] for r in got}
+    assert t["fr"] == 8000 and abs(t["en"] / t["fr"] - 1) < 0.12
+
+
 def test_query_gives_the_rows_of_its_sql(spark, duck):
     same_rows(registry.queries()["op4_mixture"](spark, f"{DATA}/sf0.001"), duck(registry.oracle_sql()["op4_mixture"]))

@@ -16,6 +16,9 @@ MARGINS = ("m_source", "m_lang", "m_topic")
 BUDGET = 0.5  # share of all tokens that the sample is to hold
 HELD = 1 << 20  # cells that a broadcast may hold; more are joined by a shuffle
 SALT = ":mix"
+CLOSE = 1e-3  # of its target share, the most by which a value's expected share may miss it where cells are bounded
+BOUND_ROUNDS = 300
+STEPS = 14  # halvings of the stretch in which the greatest budget that meets the targets is looked for
 
 
 
@@ -62,6 +65,66 @@ def rake_held(pdf: pd.DataFrame, want: dict[str, dict[str, float]], rounds: int)
     return w
 
 
+def level(code: np.ndarray, q: np.ndarray, tokens: np.ndarray, target: np.ndarray) -> np.ndarray:
+    """By value, the factor f with which its cells' tokens * min(1, f * q) come to the target; with too few tokens, the
+    one that takes them whole."""
+    order = np.lexsort((-q, code))
+    c, t, e = code[order], tokens[order], q[order]
+    first = np.searchsorted(c, np.arange(len(target)))
+    end = np.searchsorted(c, np.arange(len(target)), "right")
+    whole, spent = np.r_[0.0, np.cumsum(t)], np.r_[0.0, np.cumsum(t * e)]
+    left = np.maximum(target[c] - (whole[:-1] - whole[first[c]]), 0.0)
+    rest = spent[end[c]] - spent[:-1]
+    fits = np.flatnonzero((rest > 0) & (e > 0) & (left * e <= rest * (1 + 1e-12)))
+    least = np.full(len(target), np.inf)
+    np.minimum.at(least, c[e > 0], e[e > 0])
+    f = np.where(np.isfinite(least), 1 / np.maximum(least, 1e-300), 0.0)
+    at, k = np.unique(c[fits], return_index=True)
+    f[at] = left[fits[k]] / rest[fits[k]]
+    return f
+
+
+def bound_held(pdf: pd.DataFrame, want: dict[str, dict[str, float]], budget: float) -> np.ndarray:
+    """p of cells that fit in memory, raked with no cell beyond the tokens it has: p is the product of a factor for each
+    of the cell's values, 1 at most, and the expected tokens have the target shares. The sample is expected to hold
+    `budget` of all tokens, or where the targets can't be met with that many, the greatest share that meets them; where
+    no share does, the greatest that misses them by no more than without bounds."""
+    codes = {m: pd.factorize(pdf[m], sort=True) for m in MARGINS}
+    share = {m: np.array([want[m][v] for v in names]) for m, (_, names) in codes.items()}
+    tokens, weight = pdf["tokens"].to_numpy(float), pdf["weight"].to_numpy(float)
+    every = tokens.sum()
+    if not len(tokens) or not weight.sum():
+        return np.zeros(len(tokens))
+
+    def fit(b: float) -> tuple[float, np.ndarray]:
+        """The greatest miss at a budget, and p."""
+        q, miss = weight / tokens * b * every / weight.sum(), np.inf
+        for _ in range(BOUND_ROUNDS):
+            for m, (code, _) in codes.items():
+                q = np.minimum(q * level(code, q, tokens, share[m] * b * every)[code], 1e12)
+            x = tokens * np.minimum(q, 1.0)
+            miss = max(float(np.max(np.abs(np.bincount(code, x, len(share[m])) / (b * every) - share[m]) / np.maximum(share[m], 1e-300) * (share[m] > 0))) for m, (code, _) in codes.items())
+            if miss <= CLOSE / 10:
+                break
+        return miss, np.minimum(q, 1.0)
+
+    miss, p = fit(budget)
+    if miss <= CLOSE:
+        return p
+    free = weight > 0
+    lo, hi = min(budget, float((tokens[free] / weight[free]).min() * weight.sum() / every)), budget
+    miss, p = fit(lo)
+    enough = max(CLOSE, miss)
+    for _ in range(STEPS):
+        mid = float(np.sqrt(lo * hi))
+        miss, tried = fit(mid)
+        if miss <= enough:
+            lo, p = mid, tried
+        else:
+            hi = mid
+    return p
+
+
 def calibrated(raked: DataFrame, budget: float) -> DataFrame:
     """Adds p to raked cells: in proportion to the weight by token, so that a sample has the fitted shares, scaled to an
     expected `budget` of all tokens. A cell that would need more tokens than it has is taken whole, and the others make
@@ -80,13 +143,16 @@ def calibrated(raked: DataFrame, budget: float) -> DataFrame:
     return raked.crossJoin(F.broadcast(chosen)).select(*MARGINS, "tokens", "weight", p.alias("p"))
 
 
-def rake(cells: DataFrame, targets: dict[str, dict[str, float]] | None = None, rounds: int = ROUNDS, power: float = POWER, held: int = HELD, budget: float = BUDGET) -> DataFrame:
+def rake(cells: DataFrame, targets: dict[str, dict[str, float]] | None = None, rounds: int = ROUNDS, power: float = POWER, held: int = HELD, budget: float = BUDGET, bounded: bool = False) -> DataFrame:
     """Iterative proportional fitting of cells (m_source, m_lang, m_topic, tokens): adds p, a document's probability.
 
     Each round scales the cells' weights, at first their tokens, to the target share of every source, then language,
     then topic. Targets are shares by value (normed over the values that occur; a value without one gets none); a margin
     without targets gets its observed shares to `power`. Up to `held` cells are raked on the driver, more of them in the
-    cluster; both give the same. With no cells there are no rows."""
+    cluster; both give the same. With no cells there are no rows.
+
+    p is that of `calibrated`, or with `bounded` that of `bound_held`, which keeps the targets where cells run out. More
+    than `held` cells aren't bounded."""
     targets = {f"m_{m}": t for m, t in (targets or {}).items()}
     want = {m: wanted(cells, m, targets, power) for m in MARGINS}
     if cells.count() <= held:
@@ -94,7 +160,11 @@ def rake(cells: DataFrame, targets: dict[str, dict[str, float]] | None = None, r
         shares = {m: dict(map(tuple, want[m].collect())) for m in MARGINS}
         pdf["weight"] = rake_held(pdf, shares, rounds)
         spark = cells.sparkSession
-        raked = spark.createDataFrame(pdf, f"{', '.join(f'{m} string' for m in MARGINS)}, tokens bigint, weight double")
+        columns = f"{', '.join(f'{m} string' for m in MARGINS)}, tokens bigint, weight double"
+        if bounded:
+            pdf["p"] = bound_held(pdf, shares, budget)
+            return spark.createDataFrame(pdf, f"{columns}, p double")
+        raked = spark.createDataFrame(pdf, columns)
     else:
         raked = cells.withColumn("weight", F.col("tokens").cast("double"))
         for _ in range(rounds):
@@ -105,26 +175,27 @@ def rake(cells: DataFrame, targets: dict[str, dict[str, float]] | None = None, r
     return calibrated(raked, budget)
 
 
-def with_probability(docs: DataFrame, targets: dict[str, dict[str, float]] | None, topic: Column | None, rounds: int, power: float, held: int, budget: float) -> DataFrame:
+def with_probability(docs: DataFrame, targets: dict[str, dict[str, float]] | None, topic: Column | None, rounds: int, power: float, held: int, budget: float, bounded: bool = True) -> DataFrame:
     marked = labelled(docs, topic)
     cells = materialise(marked.select(*MARGINS, token_count().alias("tokens")).groupBy(*MARGINS).agg(F.sum("tokens").alias("tokens")).filter("tokens > 0"), "cells")
-    raked = rake(cells, targets, rounds, power, held, budget).select(*MARGINS, "p")
+    raked = rake(cells, targets, rounds, power, held, budget, bounded).select(*MARGINS, "p")
     small = cells.count() <= held
     return marked.join(F.broadcast(raked) if small else raked, list(MARGINS))
 
 
-def mixture(docs: DataFrame, targets: dict[str, dict[str, float]] | None = None, topic: Column | None = None, rounds: int = ROUNDS, power: float = POWER, held: int = HELD, budget: float = BUDGET) -> DataFrame:
+def mixture(docs: DataFrame, targets: dict[str, dict[str, float]] | None = None, topic: Column | None = None, rounds: int = ROUNDS, power: float = POWER, held: int = HELD, budget: float = BUDGET, bounded: bool = True) -> DataFrame:
     """A sample of the documents whose tokens have the target shares of sources, languages and topics: doc_id, source,
     lang, topic, tokens, p.
 
-    p is the document's probability (see rake and calibrated); it is in the sample if a hash of its doc_id, as a number in [0, 1), is
+    p is the document's probability (see rake and bound_held); without `bounded`, a value whose cells run out misses its
+    target (see calibrated). A document is in the sample if a hash of its doc_id, as a number in [0, 1), is
     below p, so a run can be repeated and repeated rows share their fate. Statistics are taken over all documents. Topic
     is given as a column expression or derived from the text's form. Null sources, languages and topics count as the
     value "(none)"; null ids are hashed as empty ones. A text without tokens, null or empty, is drawn with its cell's
     probability and weighs nothing; it is left out where its whole cell has no tokens. An empty table gives no rows.
     Other columns are ignored.
     """
-    docs = with_probability(pick(docs, "doc_id", "text", "source", "lang"), targets, topic, rounds, power, held, budget)
+    docs = with_probability(pick(docs, "doc_id", "text", "source", "lang"), targets, topic, rounds, power, held, budget, bounded)
     drawn = docs.filter(unit_hash("doc_id", SALT) < F.col("p"))
     return drawn.select("doc_id", F.col("m_source").alias("source"), F.col("m_lang").alias("lang"), F.col("m_topic").alias("topic"), token_count().alias("tokens"), F.round("p", 6).alias("p"))
 
