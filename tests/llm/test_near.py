@@ -60,6 +60,15 @@ def test_awkward_rows(spark):
     assert ids == [None, None, 0, 2, 3, 4, 5, 7, 9, 50, 52, 53, 55]
 
 
+def test_other_texts_of_a_used_id_stay(spark):
+    a, b, c, d, e = (" ".join(f"{x}{i}" for i in range(40)) for x in "abcde")
+    pairs = [(3, a), (7, a), (7, b), (0, c), (0, c), (0, d), (9, e), (9, e + " more"), (11, e)]
+    left = setsketch.one_of_each(H.docs(spark, pairs).repartition(3)).collect()
+    kept = sorted((r["doc_id"], r["text"]) for r in left)
+    assert [x for x in kept if x[0] != 9] == [(0, c), (0, d), (3, a), (7, b)]
+    assert len(kept) == 5 and kept[-1] in pairs[6:8]
+
+
 def test_a_group_of_many_unequal_copies(spark):
     rng = np.random.default_rng(0)
     w = [f"t{i}" for i in range(200)]

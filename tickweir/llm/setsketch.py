@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tickweir.llm._common import DOC_COLUMNS, discard, materialise, partitions, pick, ship
@@ -18,6 +19,7 @@ BAND = 4  # registers of a band
 THRESHOLD = 0.6
 MARGIN = 0.1  # candidates are pairs whose estimate is above the threshold less this
 NODE = "node binary, sketch binary, n int"
+MEMBER = "doc_id bigint, node binary, group_id bigint, group_size bigint, lead boolean"
 CONTENT_SEED = U64(0x51ED270B0F1F3A77)
 
 
@@ -95,6 +97,12 @@ def estimate(x: np.ndarray, y: np.ndarray, nx: np.ndarray, ny: np.ndarray) -> np
     return (lo + hi) / 2
 
 
+def names(words: Words, full: np.ndarray) -> np.ndarray:
+    """Names, a row of two hashes each, of the normalised texts of a block's documents that have words."""
+    s, e = words.start[words.first[full]], words.end[words.first[full + 1] - 1]
+    return np.stack([span_hash(words.buf, s, e), span_hash(words.buf, s, e, BYTE_B, MULT_B)], 1)
+
+
 def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(doc_id, text) to (doc_id, node, sketch, n); node names the normalised text, n is how many distinct shingles it has.
     Texts without words give nothing."""
@@ -107,9 +115,7 @@ def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if not len(full):
                 continue
             k = registers(h, np.r_[begin[:-1][full], begin[-1]])
-            s, e = words.start[words.first[full]], words.end[words.first[full + 1] - 1]
-            node = np.stack([span_hash(words.buf, s, e), span_hash(words.buf, s, e, BYTE_B, MULT_B)], 1)
-            yield pa.RecordBatch.from_arrays([ids.take(pa.array(a + full)), fixed(node), fixed(k), pa.array(np.diff(begin)[full].astype(np.int32))], ["doc_id", "node", "sketch", "n"])
+            yield pa.RecordBatch.from_arrays([ids.take(pa.array(a + full)), fixed(names(words, full)), fixed(k), pa.array(np.diff(begin)[full].astype(np.int32))], ["doc_id", "node", "sketch", "n"])
 
 
 def fixed(rows: np.ndarray) -> pa.Array:
@@ -246,20 +252,23 @@ def clusters(texts: list[str], k: np.ndarray, n: np.ndarray, threshold: float, m
 
 
 def verify(batches: Iterator[pa.RecordBatch], threshold: float, margin: float) -> Iterator[pa.RecordBatch]:
-    """(comp, node, sketch, n, ids, text) sorted by comp and first id to (doc_id, group_id, group_size)."""
+    """(comp, node, sketch, n, ids, text) sorted by comp and first id to MEMBER rows."""
 
     def flush(parts: list[pa.RecordBatch]) -> pa.RecordBatch | None:
         t = pa.Table.from_batches(parts).combine_chunks()
         own = clusters(t["text"].to_pylist(), rows_of(t["sketch"]), t["n"].to_numpy(), threshold, margin)
-        ids = t["ids"].to_pylist()
-        doc, group, size = [], [], []
+        ids, nodes = t["ids"].to_pylist(), t["node"].to_pylist()
+        doc, node, group, size, lead = [], [], [], [], []
         for c in np.unique(own):
-            all_ids = [x for i in np.flatnonzero(own == c) for x in ids[i]]
-            if len(all_ids) > 1:
-                doc += all_ids
-                group += [min(all_ids)] * len(all_ids)
-                size += [len(all_ids)] * len(all_ids)
-        return pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(group, pa.int64()), pa.array(size, pa.int64())], ["doc_id", "group_id", "group_size"]) if doc else None
+            members = [(x, nodes[i]) for i in np.flatnonzero(own == c) for x in ids[i]]
+            if len(members) > 1:
+                first = min(members)
+                doc += [x for x, _ in members]
+                node += [x for _, x in members]
+                group += [first[0]] * len(members)
+                size += [len(members)] * len(members)
+                lead += [x == first for x in members]
+        return pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(node, pa.binary()), pa.array(group, pa.int64()), pa.array(size, pa.int64()), pa.array(lead, pa.bool_())], ["doc_id", "node", "group_id", "group_size", "lead"]) if doc else None
 
     held: list[pa.RecordBatch] = []
     for batch in batches:
@@ -292,6 +301,12 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, margin: float
     their doc_id appears as often as its rows. A doc_id with several texts may be in several groups. An empty table
     gives no rows. Other columns are ignored.
     """
+    return members_of(docs, threshold, margin).select("doc_id", "group_id", "group_size")
+
+
+def members_of(docs: DataFrame, threshold: float, margin: float) -> DataFrame:
+    """The rows of `near_duplicates` with the member's node; `lead` are those of the group's least doc_id and, of several
+    texts of that id, of the least node."""
     docs = pick(docs, "doc_id", "text").filter("doc_id is not null and text is not null")
     parts = partitions(docs.sparkSession)
     sketched = docs.mapInArrow(sketch, f"doc_id bigint, {NODE}")
@@ -305,9 +320,9 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, margin: float
     members = nodes.join(comp, "node").withColumn("doc_id", F.col("ids")[0])
     texts = docs.join(members.select("doc_id", "node", "comp", "sketch", "n", "ids"), "doc_id")
     placed = texts.select("comp", "doc_id", "node", "sketch", "n", "ids", "text").repartition(parts, "comp").sortWithinPartitions("comp", "doc_id", "node")
-    checked = placed.mapInArrow(lambda it: verify(_own_text(it), threshold, margin), "doc_id bigint, group_id bigint, group_size bigint")
+    checked = placed.mapInArrow(lambda it: verify(_own_text(it), threshold, margin), MEMBER)
     alone = nodes.filter(F.size("ids") > 1).join(comp, "node", "left_anti")
-    return checked.unionByName(alone.select(F.explode("ids").alias("doc_id"), F.col("ids")[0].alias("group_id"), F.size("ids").cast("bigint").alias("group_size")))
+    return checked.unionByName(alone.select(F.explode("ids").alias("doc_id"), "node", F.col("ids")[0].alias("group_id"), F.size("ids").cast("bigint").alias("group_size")).withColumn("lead", F.expr("doc_id = group_id")))
 
 
 def _own_text(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -318,8 +333,7 @@ def _own_text(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for a, b in blocks(batch.column(6)):
             words = Words(batch.column(6).slice(a, b - a))
             full = np.flatnonzero(np.diff(words.first))
-            s, e = words.start[words.first[full]], words.end[words.first[full + 1] - 1]
-            named = dict(zip((a + full).tolist(), np.stack([span_hash(words.buf, s, e), span_hash(words.buf, s, e, BYTE_B, MULT_B)], 1)))
+            named = dict(zip((a + full).tolist(), names(words, full)))
             for i in range(a, b):
                 if i in named and named[i].tobytes() == nodes[i] and nodes[i] != last:
                     keep.append(i)
@@ -328,16 +342,33 @@ def _own_text(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([got.column(i) for i in (0, 2, 3, 4, 5, 6)], ["comp", "node", "sketch", "n", "ids", "text"])
 
 
+def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Documents with their node, null for texts without words."""
+    for batch in batches:
+        node: list[bytes | None] = [None] * batch.num_rows
+        text = batch.column(1)
+        for a, b in blocks(text):
+            words = Words(text.slice(a, b - a))
+            full = np.flatnonzero(np.diff(words.first))
+            if len(full):
+                for i, name in zip((a + full).tolist(), names(words, full)):
+                    node[i] = name.tobytes()
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(node, pa.binary())], [*batch.schema.names, "node"])
+
+
 def one_of_each(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The documents with one of each group of near duplicates, that of the least doc_id; of repeated rows one stays.
-    Columns of documents; documents in no group stay as they are, null ids and texts included."""
+    """The documents with one of each group of near duplicates, that of the least doc_id (of several texts of that id, of
+    one); of repeated rows one stays. A doc_id's other texts, which aren't in the group, stay. Columns of documents;
+    documents in no group stay as they are, null ids and texts included."""
     docs = pick(docs, *DOC_COLUMNS)
-    groups = materialise(near_duplicates(docs, threshold), "groups")
-    gone = groups.filter("doc_id <> group_id").select("doc_id").distinct()
-    left = docs.join(gone, "doc_id", "left_anti")
-    repeated = groups.filter("doc_id = group_id").groupBy("doc_id").count().filter("count > 1").select("doc_id")
-    once = left.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return left.join(repeated, "doc_id", "left_anti").unionByName(once)
+    groups = materialise(members_of(docs, threshold, MARGIN), "groups")
+    by = ["doc_id", "node"]
+    gone = groups.filter("not lead").select(*by).distinct()
+    left = docs.mapInArrow(named, "doc_id bigint, text string, lang string, source string, n_chars bigint, node binary").join(gone, by, "left_anti")
+    repeated = groups.filter("lead").groupBy(*by).count().filter("count > 1").select(*by)
+    order = W.partitionBy(*by).orderBy("text", "lang", "source", "n_chars")
+    once = left.join(repeated, by, "left_semi").withColumn("k", F.row_number().over(order)).filter("k = 1")
+    return left.join(repeated, by, "left_anti").select(*DOC_COLUMNS).unionByName(once.select(*DOC_COLUMNS))
 
 
 ship(__name__)
