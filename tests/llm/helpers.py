@@ -39,18 +39,19 @@ def random_texts(seed, n=60, vocabulary=6, longest=40):
 
 
 def repeated_windows(pairs, size):
-    """By id: the windows (first word) that occur more than once, as (start, copies, least id)."""
+    """By document, an id and its words: the windows (first word) that occur more than once in the rows, as (start,
+    copies, least id); each place once, however often the row is repeated."""
     where = defaultdict(list)
     for i, t in pairs:
-        w = words(t)
+        w = tuple(words(t))
         for a in range(len(w) - size + 1):
-            where[tuple(w[a : a + size])].append((i, a))
-    out = defaultdict(list)
+            where[w[a : a + size]].append(((i, w), a))
+    out = defaultdict(set)
     for hits in where.values():
         if len(hits) > 1:
-            least = min((i for i, _ in hits if i is not None), default=None)
-            for i, a in hits:
-                out[i].append((a, len(hits), least))
+            least = min((d[0] for d, _ in hits if d[0] is not None), default=None)
+            for d, a in hits:
+                out[d].add((a, len(hits), least))
     return out
 
 

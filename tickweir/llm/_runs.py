@@ -15,14 +15,48 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tickweir.llm._common import ship
+from tickweir.llm._common import partitions, ship
 from tickweir.llm._text import U64, Words, blocks, gather, gram_hash, ids_of, mix, span_hash
 
-LOW = U64((1 << 24) - 1)
+LOW = U64((1 << 24) - 1)  # a gram's place in its document, beside 40 bits of its hash
 FLUSH = 8 << 20  # packed bytes that a task holds before it hands them on
 NO_DOC = np.iinfo(np.int64).max
 PACKED = "bucket int, meta binary, data binary"
-FOUND = "doc_id bigint, start bigint, n bigint, copies bigint, first_doc_id bigint"
+FIELDS = 6  # of a run in meta: doc_id, whether that is null, the text's tag, first word, windows, bytes
+FOUND = "doc_id bigint, tag bigint, start bigint, n bigint, copies bigint, first_doc_id bigint"
+BUCKET = 8 << 20  # bytes of text for a bucket, on average at most; fewer where the session's shuffle partitions allow
+
+
+def layout(docs: DataFrame, spread: int) -> tuple[int, int, int]:
+    """Rows, partitions and buckets: the session's shuffle partitions and `spread` buckets for each, or as many more as
+    the bytes of text ask for."""
+    n = partitions(docs.sparkSession)
+    rows, size = docs.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
+    many = max(n * spread, -(-size // BUCKET))
+    return rows, max(n, many // (4 * spread)), many
+
+
+def least(m: np.ndarray, width: int) -> np.ndarray:
+    """The least of every `width` neighbours."""
+    span = 1
+    while span * 2 <= width:
+        m = np.minimum(m[:-span], m[span:])
+        span *= 2
+    return np.minimum(m[: len(m) - (width - span)], m[width - span :]) if span < width else m
+
+
+def first_least(m: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """The least of every `width` neighbours, and the first place where it is."""
+    at, span = np.arange(len(m)), 1
+
+    def step(by: int):
+        later = m[by:] < m[:-by]
+        return np.where(later, m[by:], m[:-by]), np.where(later, at[by:], at[:-by])
+
+    while span * 2 <= width:
+        m, at = step(span)
+        span *= 2
+    return step(width - span) if span < width else (m, at)
 
 
 def anchors(words: Words, size: int, k: int) -> tuple[np.ndarray, ...]:
@@ -33,34 +67,39 @@ def anchors(words: Words, size: int, k: int) -> tuple[np.ndarray, ...]:
         return tuple(np.zeros(0, np.int64) for _ in range(4)) + (np.zeros(0, U64),)
     doc = np.repeat(np.arange(len(words.first) - 1), np.diff(words.first))
     pos = np.arange(n) - words.first[doc]
-    m = (gram_hash(h, k) & ~LOW) | (pos[: n - k + 1].astype(U64) & LOW)
-    width, span = size - k + 1, 1
-    while span * 2 <= width:
-        m = np.minimum(m[:-span], m[span:])
-        span *= 2
-    if span < width:
-        m = np.minimum(m[: len(m) - (width - span)], m[width - span :])
+    m = gram_hash(h, k) & ~LOW
+    if len(pos) and int(pos.max()) > int(LOW):  # the place doesn't fit beside the hash
+        m, place = first_least(m, size - k + 1)
+    else:
+        m = least(m | pos[: n - k + 1].astype(U64), size - k + 1)
+        place = None
     valid = doc[: n - size + 1] == doc[size - 1 :]
     new = valid.copy()
-    new[1:] &= ~valid[:-1] | (m[1:] != m[:-1])
+    new[1:] &= ~valid[:-1] | (m[1:] != m[:-1] if place is None else place[1:] != place[:-1])
     first = np.flatnonzero(new)
     # a run ends where the next window is invalid or starts another
     stop = np.flatnonzero(~valid | new)
     nxt = np.searchsorted(stop, first, "right")
     end = np.where(nxt < len(stop), stop[np.minimum(nxt, len(stop) - 1)], n - size + 1)
     d = doc[first]
-    offset = ((m[first] & LOW).astype(np.int64) - (first - words.first[d])) & int(LOW)
-    return d, first, end - first, first + offset, m[first] >> U64(24)
+    at = words.first[d] + (m[first] & LOW).astype(np.int64) if place is None else place[first]
+    return d, first, end - first, at, m[first] >> U64(24)
+
+
+def tags(words: Words, docs: np.ndarray) -> np.ndarray:
+    """A hash of each document's words; with the doc_id it tells rows apart."""
+    s, e = words.start[words.first[docs]], words.end[words.first[docs + 1] - 1]
+    return span_hash(words.buf, s, e).view(np.int64)
 
 
-def packer(size: int, k: int, bucket_of: Callable[[Words, np.ndarray, np.ndarray], np.ndarray]):
+def packer(size: int, k: int, bucket_of: Callable[[Words, np.ndarray, np.ndarray], np.ndarray], runs: Callable = anchors):
     """A mapInArrow function from (doc_id, text) to PACKED. bucket_of gets the words, the anchors' words and hashes."""
 
     def flush(held: list) -> pa.RecordBatch:
         bucket = np.concatenate([h[0] for h in held])
         meta = np.concatenate([h[1] for h in held])
         data = np.concatenate([h[2] for h in held])
-        off = np.concatenate([[0], np.cumsum(meta[:, 4])])
+        off = np.concatenate([[0], np.cumsum(meta[:, -1])])
         order = np.argsort(bucket, kind="stable")
         b = bucket[order]
         cut = np.flatnonzero(np.r_[True, b[1:] != b[:-1]])
@@ -80,12 +119,13 @@ def packer(size: int, k: int, bucket_of: Callable[[Words, np.ndarray, np.ndarray
             ids, null = ids_of(batch.column(0))
             for a, b in blocks(batch.column(1)):
                 words = Words(batch.column(1).slice(a, b - a))
-                d, first, count, at, h = anchors(words, size, k)
+                d, first, count, at, h = runs(words, size, k)
                 if not len(d):
                     continue
                 bucket = bucket_of(words, at, h)
                 data, off = gather(words.buf, words.start[first], words.end[first + count + size - 2])
-                meta = np.stack([ids[a + d], null[a + d].astype(np.int64), first - words.first[d], count, np.diff(off)], 1)
+                own, of = np.unique(d, return_inverse=True)
+                meta = np.stack([ids[a + d], null[a + d].astype(np.int64), tags(words, own)[of], first - words.first[d], count, np.diff(off)], 1)
                 held.append((bucket, meta, data))
                 weight += len(data)
                 if weight > FLUSH:
@@ -104,9 +144,9 @@ class Bucket:
         metas, datas = [], []
         for meta, data in parts:
             n, length = np.frombuffer(meta, np.int64, 2)
-            metas.append(np.frombuffer(pa.decompress(meta[16:], int(n) * 40, "zstd"), np.int64).reshape(5, int(n)))
+            metas.append(np.frombuffer(pa.decompress(meta[16:], int(n) * 8 * FIELDS, "zstd"), np.int64).reshape(FIELDS, int(n)))
             datas.append(np.frombuffer(pa.decompress(data, int(length), "zstd"), np.uint8))
-        self.doc, null, self.first, self.count, length = np.concatenate(metas, 1)
+        self.doc, null, self.tag, self.first, self.count, length = np.concatenate(metas, 1)
         self.null = null.astype(bool)
         self.size = size
         self.buf = np.concatenate([*datas, np.zeros(16, np.uint8)])
@@ -197,7 +237,7 @@ class Bucket:
         most = np.maximum.reduceat(copies[twice], s) if len(s) else np.zeros(0, np.int64)
         low = np.minimum.reduceat(first[twice], s) if len(s) else np.zeros(0, np.int64)
         start = self.first[r] + self.nth[twice[s]] if len(s) else np.zeros(0, np.int64)
-        return pa.RecordBatch.from_arrays([pa.array(self.doc[r], mask=self.null[r]), pa.array(start), pa.array(n), pa.array(most), pa.array(low, mask=low == NO_DOC)], ["doc_id", "start", "n", "copies", "first_doc_id"])
+        return pa.RecordBatch.from_arrays([pa.array(self.doc[r], mask=self.null[r]), pa.array(self.tag[r]), pa.array(start), pa.array(n), pa.array(most), pa.array(low, mask=low == NO_DOC)], ["doc_id", "tag", "start", "n", "copies", "first_doc_id"])
 
 
 def by_bucket(work: Callable[[Bucket], pa.RecordBatch], size: int):
@@ -219,15 +259,16 @@ def by_bucket(work: Callable[[Bucket], pa.RecordBatch], size: int):
 
 
 def spans(found: DataFrame, size: int) -> DataFrame:
-    """Stretches of windows merged into spans of words: doc_id, start_word, end_word, windows, copies, first_doc_id."""
-    w = W.partitionBy("doc_id").orderBy("start", "n")
-    end = F.col("start") + F.col("n") + F.lit(size - 1)
+    """Stretches of windows merged into spans of words: doc_id, tag, start_word, end_word, windows (places counted once),
+    copies, first_doc_id."""
+    w = W.partitionBy("doc_id", "tag").orderBy("start", "n")
+    stop = F.col("start") + F.col("n")
     return (
-        found.withColumn("end", end)
-        .withColumn("before", F.max("end").over(w.rowsBetween(W.unboundedPreceding, -1)))
-        .withColumn("island", F.sum(F.when(F.col("start") <= F.col("before"), 0).otherwise(1)).over(w))
-        .groupBy("doc_id", "island")
-        .agg(F.min("start").alias("start_word"), F.max("end").alias("end_word"), F.sum("n").alias("windows"), F.max("copies").alias("copies"), F.min("first_doc_id").alias("first_doc_id"))
+        found.withColumn("before", F.max(stop).over(w.rowsBetween(W.unboundedPreceding, -1)))
+        .withColumn("fresh", F.greatest(F.lit(0), stop - F.greatest("start", "before")))
+        .withColumn("island", F.sum(F.when(F.col("start") <= F.col("before") + F.lit(size - 1), 0).otherwise(1)).over(w))
+        .groupBy("doc_id", "tag", "island")
+        .agg(F.min("start").alias("start_word"), F.max(stop + F.lit(size - 1)).alias("end_word"), F.sum("fresh").alias("windows"), F.max("copies").alias("copies"), F.min("first_doc_id").alias("first_doc_id"))
         .drop("island")
     )
 
