@@ -28,6 +28,10 @@ def members(data):
     return out
 
 
+def normalised(source, target):
+    return [tuple(r.values()) for b in warc.normalised(str(source), str(target)) for r in b.to_pylist()]
+
+
 @pytest.mark.parametrize("chunk", [7, 64, 1 << 20])
 def test_one_stream_becomes_a_member_a_record(tmp_path, monkeypatch, chunk):
     monkeypatch.setattr(warc, "CHUNK", chunk)
@@ -36,7 +40,7 @@ def test_one_stream_becomes_a_member_a_record(tmp_path, monkeypatch, chunk):
     data = b"".join(record(i, b) for i, b in enumerate(bodies))
     for name, raw in (("one", gzip.compress(data)), ("many", b"".join(gzip.compress(record(i, b)) for i, b in enumerate(bodies))), ("padded", gzip.compress(data) + b"\0" * 20)):
         (tmp_path / f"{name}.warc.gz").write_bytes(raw)
-        rows = warc.normalise_file(str(tmp_path / f"{name}.warc.gz"), str(tmp_path / f"{name}.out.gz"))
+        rows = normalised(tmp_path / f"{name}.warc.gz", tmp_path / f"{name}.out.gz")
         out = (tmp_path / f"{name}.out.gz").read_bytes()
         assert members(out) == [record(i, b) for i, b in enumerate(bodies)]
         assert [(r[3], r[4]) for r in rows] == [(sum(x[4] for x in rows[:i]), rows[i][4]) for i in range(len(rows))]
@@ -53,10 +57,30 @@ def test_broken_and_empty_files(tmp_path):
     for name, raw, error in (("cut", whole[: len(whole) // 2], EOFError), ("short", gzip.compress(record(0, b"x" * 1000)[:-500]), EOFError), ("odd", gzip.compress(b"hello\n"), ValueError)):
         (tmp_path / name).write_bytes(raw)
         with pytest.raises(error):
-            warc.normalise_file(str(tmp_path / name), str(tmp_path / f"{name}.out"))
+            normalised(tmp_path / name, tmp_path / f"{name}.out")
         assert not (tmp_path / f"{name}.out").exists()
     (tmp_path / "empty").write_bytes(b"")
-    assert warc.normalise_file(str(tmp_path / "empty"), str(tmp_path / "e.out")) == []
+    assert normalised(tmp_path / "empty", tmp_path / "e.out") == []
+
+
+def test_files_of_one_name_and_many_records(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(warc, "ROWS", 3)
+    files = []
+    for k, where in enumerate(("a/x", "b/x", "b/y", "x")):
+        path = tmp_path / "in" / f"{where}.warc.gz"
+        path.parent.mkdir(parents=True, exist_ok=True)
+        path.write_bytes(gzip.compress(b"".join(record(10 * k + i, b"body %d %d" % (k, i)) for i in range(k + 4))))
+        files.append(f"file:{path}")
+    index = warc.normalise(spark, [*files, files[0]], f"file:{tmp_path}/out")
+    seen = [{(r["record_id"], r["file"], r["offset"], r["length"]) for r in index.collect()} for _ in range(2)]
+    assert seen[0] == seen[1] and len(seen[0]) == 4 + 5 + 6 + 7 and {x[1] for x in seen[0]} == {"a__x.warc.gz", "b__x.warc.gz", "b__y.warc.gz", "x.warc.gz"}
+    for rid, name, offset, length in seen[0]:
+        k, i = divmod(int(rid), 10)
+        assert warc.read_record(f"file:{tmp_path}/out/{name}", offset, length)[1] == b"body %d %d" % (k, i)
+    sidecars = [pd.read_parquet(p) for p in (tmp_path / "out").glob("*.idx.parquet")]
+    assert len(sidecars) == 4 and sum(map(len, sidecars)) == len(seen[0])
+    with pytest.raises(ValueError):
+        warc.normalise(spark, ["file:/x/a/b__c", "file:/x/a__b/c"], f"file:{tmp_path}/clash")
 
 
 def test_pages_come_back_through_the_index(spark, tmp_path, monkeypatch):

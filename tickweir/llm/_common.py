@@ -6,6 +6,8 @@ import os
 import shutil
 import sys
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pyarrow.fs as pafs
 from pyspark import cloudpickle
@@ -51,19 +53,28 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession, what: str) -> str:
-    """A new folder below spark.checkpoint.dir (which all executors see). Where that is unset, as in tests on one
-    machine, it is set to a folder below the warehouse directory."""
+    """A new folder below spark.checkpoint.dir (which all executors see). Where that is unset and Spark runs in one
+    process on one machine, as in tests, it is set to a folder below the warehouse directory; elsewhere that is so only if
+    the warehouse isn't in a machine's own file system, as other executors couldn't see it."""
     jsc = spark.sparkContext._jsc.sc()
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         held = jsc.getCheckpointDir()
         if not held.isDefined():
-            spark.sparkContext.setCheckpointDir(spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_shared")
+            warehouse = spark.conf.get("spark.sql.warehouse.dir").rstrip("/")
+            alone = spark.sparkContext.master.split("[")[0] == "local"
+            if not alone and qualified(spark, warehouse).startswith("file:"):
+                raise ValueError("set spark.checkpoint.dir to a folder that all executors see")
+            spark.sparkContext.setCheckpointDir(warehouse + "/_shared")
             held = jsc.getCheckpointDir()
         root = held.get()
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)  # a path without a scheme is of the default file system
-    root = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(path).toString()
-    return f"{root.rstrip('/')}/{what}-{uuid.uuid4().hex}"
+    return f"{qualified(spark, root).rstrip('/')}/{what}-{uuid.uuid4().hex}"
+
+
+def qualified(spark: SparkSession, uri: str) -> str:
+    """A URI with its file system's scheme; a path without one is of the default file system."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(uri)
+    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(path).toString()
 
 
 def filesystem(uri: str) -> tuple[pafs.FileSystem, str]:
@@ -75,12 +86,29 @@ def filesystem(uri: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(uri)
 
 
+_SCRATCH: list[list[str]] = []
+
+
+@contextmanager
+def scratch() -> Iterator[None]:
+    """Within it, what `materialise` writes is deleted at the end; nothing may read it afterwards."""
+    _SCRATCH.append([])
+    try:
+        yield
+    finally:
+        for path in _SCRATCH.pop():
+            remove(path)
+
+
 def materialise(df: DataFrame, what: str) -> DataFrame:
-    """Cut the lineage: write to the shared folder and read back. The rows outlive any executor."""
+    """Cut the lineage: write to the shared folder and read back. The rows outlive any executor. The table stays until
+    `discard`, the end of a `scratch`, or for as long as the folder is kept."""
     path = shared_dir(df.sparkSession, what)
     df.write.parquet(path)
     held = df.sparkSession.read.schema(df.schema).parquet(path)
     held._shared = path
+    if _SCRATCH:
+        _SCRATCH[-1].append(path)
     return held
 
 
@@ -91,15 +119,20 @@ def put(fs: pafs.FileSystem, part: str, target: str) -> None:
     fs.move(part, target)
 
 
-def discard(table: DataFrame) -> None:
-    """Delete what `materialise` wrote, once nothing reads it any more."""
-    fs, p = filesystem(table._shared)
+def remove(uri: str) -> None:
+    """Delete a folder, if it is there."""
+    fs, p = filesystem(uri)
     if isinstance(fs, pafs.LocalFileSystem):
         shutil.rmtree(p, ignore_errors=True)
-    else:
+    elif fs.get_file_info(p).type != pafs.FileType.NotFound:
         fs.delete_dir(p)
 
 
+def discard(table: DataFrame) -> None:
+    """Delete what `materialise` wrote, once nothing reads it any more."""
+    remove(table._shared)
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -13,11 +13,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickweir.llm._common import filesystem, pick, put, shared_dir, ship
+from tickweir.llm._common import filesystem, materialise, pick, put, remove, shared_dir, ship
 
 CHUNK = 1 << 20
 GZIP = 31  # zlib's window bits for a gzip wrapper
+ROWS = 10_000  # of an index that are held at once
 INDEX = "record_id string, url string, file string, offset bigint, length bigint, n_bytes bigint, digest string"
+TYPES = pa.schema([(c.split()[0], pa.string() if c.endswith("string") else pa.int64()) for c in INDEX.split(", ")])
 
 
 class Member:
@@ -113,14 +115,21 @@ def records(reader: Reader) -> Iterator[tuple[bytes, dict[str, str], int]]:
         yield b"".join(head), fields, int(fields.get("content-length", 0))
 
 
-def normalise_file(source_uri: str, target_uri: str, level: int = 1) -> list[tuple]:
-    """Rewrite one WARC file and return its index rows. The file appears under its name only when it is whole, so an
-    attempt that is lost leaves nothing that could be mistaken for it."""
+def normalised(source_uri: str, target_uri: str, level: int = 1) -> Iterator[pa.RecordBatch]:
+    """Rewrite one WARC file; its index rows, ROWS at a time. The file and its sidecar appear under their names only when
+    they are whole, so an attempt that is lost leaves nothing that could be mistaken for them."""
     fs, source = filesystem(source_uri)
     to, target = filesystem(target_uri)
     part = f"{target}.{uuid.uuid4().hex}.part"
     rows, offset, name = [], 0, target_uri.rsplit("/", 1)[-1]
-    with fs.open_input_stream(source, compression=None) as f, to.open_output_stream(part, compression=None) as out:
+    with fs.open_input_stream(source, compression=None) as f, to.open_output_stream(part, compression=None) as out, pq.ParquetWriter(f"{part}.idx", TYPES, filesystem=to) as sidecar:
+
+        def handed() -> pa.RecordBatch:
+            batch = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), TYPES.types)], schema=TYPES)
+            sidecar.write_batch(batch)
+            rows.clear()
+            return batch
+
         reader = Reader(inflate(f))
         for head, fields, length in records(reader):
             member, digest = Member(out, level), hashlib.md5(usedforsecurity=False)
@@ -132,11 +141,12 @@ def normalise_file(source_uri: str, target_uri: str, level: int = 1) -> list[tup
             size = member.close()
             rows.append((fields.get("warc-record-id"), fields.get("warc-target-uri"), name, offset, size, length, digest.hexdigest()))
             offset += size
+            if len(rows) == ROWS:
+                yield handed()
+        if rows:
+            yield handed()
     put(to, part, target)
-    sidecar = pa.table({n: pa.array([r[i] for r in rows], pa.string() if i in (0, 1, 2, 6) else pa.int64()) for i, n in enumerate(("record_id", "url", "file", "offset", "length", "n_bytes", "digest"))})
-    pq.write_table(sidecar, f"{part}.idx", filesystem=to)
     put(to, f"{part}.idx", f"{target}.idx.parquet")
-    return rows
 
 
 def read_record(uri: str, offset: int, length: int) -> tuple[dict[str, str], bytes]:
@@ -150,30 +160,41 @@ def read_record(uri: str, offset: int, length: int) -> tuple[dict[str, str], byt
     return fields, b"".join(reader.take(n))
 
 
+def target_names(files: list[str]) -> dict[str, str]:
+    """Of each file, its name below the target: its path from the folder that all have in common, with "__" for "/"."""
+    paths = {f: f.split("/") for f in dict.fromkeys(files)}
+    common = 0
+    while len({tuple(p[: common + 1]) for p in paths.values()}) == 1 and all(len(p) > common + 1 for p in paths.values()):
+        common += 1
+    names = {f: "__".join(x for x in p[common:] if x) for f, p in paths.items()}
+    if len(set(names.values())) < len(names):
+        twice = sorted(f for f, n in names.items() if list(names.values()).count(n) > 1)
+        raise ValueError(f"files would get the same name: {twice[:4]}")
+    return names
+
+
 def normalise(spark: SparkSession, files: list[str], target: str, level: int = 1) -> DataFrame:
     """Normalise WARC files: each is inflated once as one stream, every record is written as a gzip member of its own
-    to a file of the same name below `target`, and a sidecar index (<name>.idx.parquet) is written beside it. Returns the
-    index of all: record_id, url, file, offset, length, n_bytes, digest (MD5 of the content).
-
-    Memory is bounded whatever the file's or the record's size. A file is one task, as a gzip stream can't be split.
-    Files of many members are taken too. An empty file gives no rows; one that is cut short fails. Fields that a record
-    lacks are null.
+    to a file below `target`, and a sidecar index (<name>.idx.parquet) is written beside it. The work is done at once, and
+    once; the result is the index of all, read from the shared folder: record_id, url, file, offset, length, n_bytes,
+    digest (MD5 of the content).
+
+    A file keeps its name; files of several folders have the folders' names before theirs, and two that would get one
+    name are refused before any work. A file named twice is one file. Memory is bounded whatever the file's or the
+    record's size or the number of records. A file is one task, as a gzip stream can't be split. Files of many members
+    are taken too. An empty file gives no rows; one that is cut short fails. Fields that a record lacks are null.
     """
     fs, path = filesystem(target)
     fs.create_dir(path, recursive=True)
-    rows = spark.createDataFrame([(f,) for f in files], "path string").repartition(max(1, len(files)), "path") if files else spark.createDataFrame([], "path string")
+    names = target_names(files)
+    rows = spark.createDataFrame(list(names.items()), "path string, name string").repartition(max(1, len(names)), "path") if names else spark.createDataFrame([], "path string, name string")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for source in batch.column(0).to_pylist():
-                found = normalise_file(source, f"{target}/{source.rsplit('/', 1)[-1]}", level)
-                yield pa.RecordBatch.from_pylist([dict(zip(KEYS, r)) for r in found], TYPES)
-
-    return rows.mapInArrow(work, INDEX)
-
+            for source, name in zip(*(c.to_pylist() for c in batch.columns)):
+                yield from normalised(source, f"{target}/{name}", level)
 
-KEYS = [c.split()[0] for c in INDEX.split(", ")]
-TYPES = pa.schema([(k, pa.string() if c.endswith("string") else pa.int64()) for k, c in zip(KEYS, INDEX.split(", "))])
+    return materialise(rows.mapInArrow(work, INDEX), "warc-index")
 
 
 def write_monolithic(pages: DataFrame, target: str, level: int = 1) -> DataFrame:
@@ -211,13 +232,14 @@ def pages_index(pages: DataFrame) -> DataFrame:
 
     page_id, url, file, offset, length, n_bytes, digest; one row a page, in no order. A null html is an empty record, a
     null url or page_id stays null; white space in a url is put as single spaces, as a header line can't hold others.
-    Repeated rows are records of their own. An empty table gives no rows. Other columns are ignored. The files stay in
-    the shared folder, the result in "normal", and those it was made of, which a repeated task would read again, in
-    "monolithic"."""
+    Repeated rows are records of their own; nothing depends on order, so ties decide nothing. A html of any length is
+    written whole. An empty table gives no rows. Other columns are ignored. The files stay in the shared folder, in
+    "normal"; those they were made of go."""
     spark = pages.sparkSession
     at = shared_dir(spark, "warc")
     files = [r["file"] for r in write_monolithic(pages, f"{at}/monolithic").collect()]  # one name a file
     index = normalise(spark, sorted(files), f"{at}/normal")
+    remove(f"{at}/monolithic")
     return index.select(F.when(F.col("record_id") != "", F.col("record_id")).cast("bigint").alias("page_id"), "url", "file", "offset", "length", "n_bytes", "digest")
 
 
