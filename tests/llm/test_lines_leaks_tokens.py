@@ -109,7 +109,7 @@ def bitmaps(pairs):
     return sorted(out, key=repr)
 
 
-LINED = [*H.AWKWARD, (40, "a\n\nb\na\nc"), (41, "c\nb"), (42, "b\nd\nsame line\ne\n"), (43, "a\r\nA\n a"), (44, "same line")]
+LINED = [(-3, "\t"), (-2, "\t\n "), (-1, " \n\t\n\r"), *H.AWKWARD, (40, "a\n\nb\na\nc"), (41, "c\nb"), (42, "b\nd\nsame line\ne\n"), (43, "a\r\nA\n a"), (44, "same line")]
 
 
 def test_lines_against_brute_force(spark):
@@ -137,7 +137,8 @@ def test_lines_are_dropped(spark):
             continue
         lines = t.split("\n")
         new = "\n".join(lines[k] for k in by[i, t])
-        if len(by[i, t]) == len(lines) or new.split():
+        if len(by[i, t]) == len(lines) or any(x.strip(" ") for x in new.split("\n")):
             want.append((i, new))
     assert sorted(rows, key=repr) == sorted(want, key=repr)
     assert {r["doc_id"]: r["n_chars"] for r in got.collect()}[42] == len("d\ne\n")
+    assert {-3, -1} <= {i for i, _ in rows} and -2 not in {i for i, _ in rows}

@@ -17,7 +17,7 @@ def lines(pairs):
     for (i, t), keep in H.kept_lines(pairs).items():
         all_ = t.split("\n")
         new = "\n".join(all_[k] for k in keep)
-        if len(keep) == len(all_) or new.strip():
+        if len(keep) == len(all_) or any(x.strip(" ") for x in new.split("\n")):
             out.append((i, new))
     return out
 

@@ -19,6 +19,11 @@ def lines_of(text: str) -> Column:
     return F.split(F.col(text), "\n", -1)
 
 
+def is_blank(line: Column) -> Column:
+    """Whether a line holds nothing but spaces."""
+    return F.trim(line) == ""
+
+
 def first_occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of rows sorted by hash, document and position, the first of each hash; then one row that says with which hash
     the partition began and ended. The first hash's row is marked: it may have begun in an earlier partition."""
@@ -51,7 +56,7 @@ def kept_lines(docs: DataFrame) -> DataFrame:
     docs = pick(docs, "doc_id", "text").filter(F.col("text").isNotNull()).withColumn("dk", F.xxhash64("text"))
     lines = (
         docs.select("doc_id", "dk", F.posexplode(lines_of("text")).alias("pos", "line"))
-        .filter(F.trim("line") != "")
+        .filter(~is_blank(F.col("line")))
         .select(F.xxhash64("line").alias("h1"), F.xxhash64(F.lit("second"), "line").alias("h2"), "doc_id", "dk", "pos")
     )
     order = ["h1", "h2", "doc_id", "dk", "pos"]
@@ -61,7 +66,7 @@ def kept_lines(docs: DataFrame) -> DataFrame:
     kept = found.filter("pos is not null")
     if late:
         kept = kept.filter(~(F.col("head") & F.col("part").isin(late)))
-    blank = F.filter(F.transform(lines_of("text"), lambda x, i: F.when(F.trim(x) == "", i)), lambda i: i.isNotNull())
+    blank = F.filter(F.transform(lines_of("text"), lambda x, i: F.when(is_blank(x), i)), lambda i: i.isNotNull())
     whole = docs.select("doc_id", "dk", F.size(lines_of("text")).alias("n"), blank.alias("ps"))
     rows = whole.unionByName(kept.select("doc_id", "dk", F.lit(None).cast("int").alias("n"), F.array("pos").alias("ps")))
     return rows.groupBy("doc_id", "dk").agg(F.max("n").alias("n_lines"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("ps")))).alias("kept"))
@@ -84,7 +89,8 @@ def line_bitmaps(docs: DataFrame) -> DataFrame:
     over partitions, sorted by the same, and streamed. Where a partition begins with the hash that the one before ended
     with, its first row isn't a first occurrence.
 
-    Lines are what lies between newlines, compared exactly. Blank lines are kept and never compared. A null text has no
+    Lines are what lies between newlines, compared exactly. Blank lines, which hold nothing but spaces, are kept and never
+    compared; a line of tabs is a line like any other. Texts and lines of any length are read whole. A null text has no
     row; an empty one has one line, blank. Rows with the same doc_id and text are one document and give one row; rows
     with the same doc_id and another text are documents of their own. Null ids are grouped the same way. An empty table
     gives no rows. Other columns are ignored.
@@ -96,8 +102,8 @@ def line_bitmaps(docs: DataFrame) -> DataFrame:
 def drop_repeated_lines(docs: DataFrame) -> DataFrame:
     """The documents with only the lines that line_bitmaps keeps; columns of documents, n_chars counted anew.
 
-    A document that loses all its lines that aren't blank goes. Null texts and texts with blank lines only stay as they
-    are. Rows with the same doc_id and text stay, each with the kept lines. Extra columns are dropped."""
+    A document that loses all its lines that aren't blank (as `line_bitmaps` has it) goes. Null texts and texts with blank
+    lines only stay as they are. An empty table gives no rows. Rows with the same doc_id and text stay, each with the kept lines. Extra columns are dropped."""
     docs = pick(docs, *DOC_COLUMNS)
     bitmaps = kept_lines(docs).filter(F.size("kept") < F.col("n_lines")).select("doc_id", "dk", runs("kept").alias("runs"))
     on = lambda a, b: a["doc_id"].eqNullSafe(b["doc_id"]) & (a["dk"] == b["dk"])
@@ -106,7 +112,7 @@ def drop_repeated_lines(docs: DataFrame) -> DataFrame:
     parts = F.flatten(F.transform("runs", lambda x: F.slice(lines_of("text"), x["start"] + 1, x["end"] - x["start"] + 1)))
     text = F.when(F.col("runs").isNull(), F.col("text")).otherwise(F.array_join(parts, "\n"))
     done = joined.withColumn("new", text)
-    done = done.filter(F.col("runs").isNull() | (F.regexp_replace("new", r"\s+", "") != ""))
+    done = done.filter(F.col("runs").isNull() | F.exists(lines_of("new"), lambda x: ~is_blank(x)))
     return done.select("doc_id", F.col("new").alias("text"), "lang", "source", F.when(F.col("runs").isNull(), F.col("n_chars")).otherwise(F.length("new")).cast("bigint").alias("n_chars"))
 
 
