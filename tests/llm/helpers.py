@@ -113,11 +113,18 @@ def near_groups(pairs, threshold):
 
 
 def leaks(text, items, n=8, least=5):
-    """(word, length, item) of each place where a window of an item occurs."""
+    """(word, length, item) of each place where a window of an item occurs, or a short item as a line."""
     w, out = words(text), []
     for i, t in items:
         g = words(t)
-        if i is None or len(g) < least:
+        if i is None or not g:
+            continue
+        if len(g) < least:
+            at = 0
+            for line in (text or "").split("\n"):
+                x = words(line)
+                out += [(at, len(g), i)] if x == g else []
+                at += len(x)
             continue
         size = min(n, len(g))
         grams = {tuple(g[a : a + size]) for a in range(len(g) - size + 1)}

@@ -50,7 +50,7 @@ def test_merging_with_ties():
         assert bpe.merged_length(piece, ranks) == (1 if piece in ranks else naive(piece, ranks))
 
 
-ITEMS = [(1, "The quick brown fox jumps over the lazy dog today."), (2, "one two three four five"), (3, "too short"), (None, "one two three four five six"), (4, None), (1, "The quick brown fox jumps over the lazy dog today."), (5, "a quick brown fox jumps over the lazy dog")]
+ITEMS = [(1, "The quick brown fox jumps over the lazy dog today."), (2, "one two three four five"), (3, "too short"), (None, "one two three four five six"), (4, None), (1, "The quick brown fox jumps over the lazy dog today."), (5, "a quick brown fox jumps over the lazy dog"), (6, "what?"), (7, "Too\nshort"), (8, "!"), (9, "")]
 
 
 def bench(spark):
@@ -68,7 +68,7 @@ def leak_rows(pairs):
     return sorted(out, key=repr)
 
 
-LEAKY = [*H.AWKWARD, (30, "Intro. THE QUICK\nbrown fox -- jumps over the lazy dog, today! Outro " + "pad " * 30), (31, "two three four five one two three four six"), (32, "The quick brown fox jumps over the"), (33, H.LONG + " One, two... three four five!")]
+LEAKY = [*H.AWKWARD, (30, "Intro. THE QUICK\nbrown fox -- jumps over the lazy dog, today! Outro " + "pad " * 30), (31, "two three four five one two three four six"), (32, "The quick brown fox jumps over the"), (33, H.LONG + " One, two... three four five!"), (34, "this is too short\nToo, short!\n\nto tell what"), (35, "What\n" + "and so on " * 9 + "\nwhat"), (36, "too"), (37, "short\ntoo\nshort what")]
 
 
 def test_leaks_against_brute_force(spark):
@@ -85,12 +85,23 @@ def test_spans_are_cut_and_documents_go(spark):
     left = decontam.decontaminate(df, bench(spark))
     assert left.columns == ["doc_id", "text", "lang", "source", "n_chars"]
     got = {r["doc_id"]: r for r in left.collect() if r["doc_id"] is not None}
-    assert set(got) == {2, 3, 4, 5, 7, 8, 9, 30, 31, 32, 33}  # 0, seven words of which five are a benchmark item, goes
+    assert set(got) == {2, 3, 4, 5, 7, 8, 9, 30, 31, 32, 33, 34, 35, 36, 37}  # 0, seven words of which five are a benchmark item, goes
     assert got[30]["text"] == "Intro. Outro " + "pad " * 30 and got[30]["n_chars"] == len(got[30]["text"])
-    assert got[33]["text"] == H.LONG + " " and got[32]["text"] == LEAKY[-2][1] and got[2]["text"] is None
+    assert got[33]["text"] == H.LONG + " " and got[32]["text"] == LEAKY[-6][1] and got[2]["text"] is None
+    assert got[34]["text"] == "this is too short\nto tell what" and got[35]["text"] == "and so on " * 9 + "\n" and got[37]["text"] == LEAKY[-1][1]
     assert decontam.contaminated(left, bench(spark)).count() == 0
 
 
+def test_short_items_in_sql(spark, duck, tmp_path):
+    import duckdb
+
+    docs, items = H.docs(spark, [(i, t) for n, (i, t) in enumerate(LEAKY) if n > 10 and i is not None], clash=False), spark.createDataFrame([x for x in ITEMS if x[0] not in (None, 1) and x[1]], "item_id bigint, text string")
+    con = duckdb.connect()
+    for name, df in (("documents", docs), ("benchmark", items)):
+        con.register(name, df.toPandas())
+    same_rows(decontam.contaminated(docs, items), con.sql(registry.oracle_sql()["op5_contaminated"]))
+
+
 @pytest.mark.parametrize("name", ["op5_contaminated", "op6_line_bitmaps"])
 def test_query_gives_the_rows_of_its_sql(spark, duck, name):
     same_rows(registry.queries()[name](spark, f"{DATA}/sf0.001"), duck(registry.oracle_sql()[name]))

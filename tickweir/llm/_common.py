@@ -5,15 +5,18 @@ from __future__ import annotations
 import os
 import shutil
 import sys
+import types
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
+from typing import TypeVar
 
 import pyarrow.fs as pafs
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+T = TypeVar("T")
 DOC_COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
@@ -133,6 +136,14 @@ def discard(table: DataFrame) -> None:
     remove(table._shared)
 
 
+def worker_held(kind: str, key: object, make: Callable[[], T]) -> T:
+    """What make() gives, kept in this Python worker from task to task; the last key of a kind only."""
+    held = sys.modules.setdefault("_tickweir_held", types.ModuleType("_tickweir_held")).__dict__
+    if kind not in held or held[kind][0] != key:
+        held[kind] = (key, make())
+    return held[kind][1]
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

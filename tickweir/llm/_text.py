@@ -128,6 +128,7 @@ class Words:
     def __init__(self, col: pa.Array):
         raw, off = buffers(lower(col))
         m = word_mask(raw)
+        self.raw, self.at = raw, np.zeros(0, np.int64)
         edge = np.empty(len(m) + 1, bool)
         edge[0] = edge[-1] = True
         np.not_equal(m[1:], m[:-1], out=edge[1:-1]) if len(m) else None
@@ -140,8 +141,7 @@ class Words:
             return
         inside = m[cut[:-1]]
         s, e = cut[:-1][inside], cut[1:][inside]
-        self.first = np.searchsorted(s, off)
-        keep = m
+        self.first, self.at = np.searchsorted(s, off), s
         sep = e[e < len(raw)]
         # one separator byte after each word: the byte after it where that isn't a word byte
         gap = sep[~m[sep]]
@@ -156,6 +156,10 @@ class Words:
     def hashes(self) -> np.ndarray:
         return span_hash(self.buf, self.start, self.end)
 
+    def lines(self) -> np.ndarray:
+        """Each word's line, counted over the block."""
+        return np.searchsorted(np.flatnonzero(self.raw == 10), self.at)
+
 
 def blocks(col: pa.Array, size: int = BLOCK):
     """Slices (from, to) of a string array of about `size` bytes each, one document at least."""

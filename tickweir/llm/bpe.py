@@ -3,16 +3,15 @@
 from __future__ import annotations
 
 import base64
+import hashlib
 import heapq
-import sys
-import types
 from collections.abc import Iterator
 
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from tickweir.llm._common import pick, ship
+from tickweir.llm._common import pick, ship, worker_held
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: The pre-tokenisation of the vocabulary's public tokenizer.
@@ -71,30 +70,22 @@ class Lengths(dict):
         return n
 
 
-def worker_lengths(name: str, data: bytes) -> Lengths:
-    """This worker's Lengths of a vocabulary, kept from task to task."""
-    held = sys.modules.setdefault("_tickweir_held", types.ModuleType("_tickweir_held")).__dict__
-    key = ("lengths", name, len(data))
-    if key not in held:
-        held[key] = Lengths(read_ranks(data))
-    return held[key]
-
-
 def token_counts(docs: DataFrame, vocabulary: str = VOCABULARY, pattern: str = PATTERN) -> DataFrame:
     """doc_id and n_tokens of every row, exactly as the vocabulary's tokenizer counts them; no identifiers are made.
 
-    A null text has a null count, an empty one 0. Every row is counted by itself, so repeated rows and null ids give
-    as many rows. An empty table gives no rows. Other columns are ignored. The vocabulary (of fixed size) is read on
+    A null text has a null count, an empty one 0, one of any length is read whole. Of pairs with one rank the leftmost
+    merges first. Every row is counted by itself, so repeated rows and null ids give as many rows. An empty table gives no rows. Other columns are ignored. The vocabulary (of fixed size) is read on
     the driver and broadcast.
     """
     with open(vocabulary, "rb") as f:
         shared = docs.sparkSession.sparkContext.broadcast(f.read())
+    key = hashlib.md5(shared.value, usedforsecurity=False).hexdigest()
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        length = worker_lengths(vocabulary, shared.value).__getitem__
+        length = worker_held("lengths", key, lambda: Lengths(read_ranks(shared.value)))
         pieces = regex.compile(pattern).findall
         for batch in batches:
-            n = [None if t is None else sum(map(length, pieces(t))) for t in batch.column(1).to_pylist()]
+            n = [None if t is None else sum(map(length.__getitem__, pieces(t))) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64())], ["doc_id", "n_tokens"])
 
     return pick(docs, "doc_id", "text").mapInArrow(count, "doc_id bigint, n_tokens bigint")

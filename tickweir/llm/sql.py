@@ -37,7 +37,11 @@ DECONTAM = f"""WITH t AS (SELECT doc_id, regexp_extract_all(lower(text), '{WORD_
            FROM (SELECT item_id, ws, n, unnest(range(0, len(ws) - n + 1)) AS i FROM b, n WHERE len(ws) >= n AND (n = 8 OR len(ws) = n))),
     dg AS (SELECT doc_id, i, n, array_to_string(ws[i + 1 : i + n], ' ') AS gram
            FROM (SELECT doc_id, ws, n, unnest(range(0, len(ws) - n + 1)) AS i FROM t, n WHERE len(ws) >= n)),
-    h AS (SELECT DISTINCT doc_id, i, n, item_id FROM dg JOIN bg USING (gram, n)),
+    l AS (SELECT doc_id, regexp_extract_all(lower(line), '{WORD_RE}') AS ws, pos FROM
+          (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM documents)),
+    ls AS (SELECT doc_id, array_to_string(ws, ' ') AS gram, len(ws) AS n, CAST(sum(len(ws)) OVER (PARTITION BY doc_id ORDER BY pos) AS BIGINT) - len(ws) AS i FROM l),
+    h AS (SELECT DISTINCT doc_id, i, n, item_id FROM dg JOIN bg USING (gram, n)
+          UNION SELECT doc_id, i, n, item_id FROM ls JOIN (SELECT item_id, array_to_string(ws, ' ') AS gram, len(ws) AS n FROM b WHERE len(ws) BETWEEN 1 AND 4) USING (gram, n)),
     c AS (SELECT doc_id, count(DISTINCT w) AS hit_words FROM (SELECT doc_id, unnest(range(i, i + n)) AS w FROM h) GROUP BY doc_id),
     a AS (SELECT doc_id, count(*) AS windows, list_sort(list(DISTINCT item_id)) AS items FROM h GROUP BY doc_id)
     SELECT a.doc_id, array_to_string(items, ',') AS item_ids, CAST(windows AS INT) AS windows, CAST(hit_words AS INT) AS hit_words, CAST(len(ws) AS INT) AS n_words,
