@@ -12,7 +12,6 @@ from pyspark.sql import functions as F
 from tests.conftest import DATA, same_rows
 from tests.llm import helpers as H
 from tickweir.llm import mixing, registry, warc
-from tickweir.llm._common import unit_hash
 
 
 def record(i, body, url="http://x/"):
@@ -118,66 +117,70 @@ def cells(spark):
     return spark.createDataFrame(CELLS, "m_source string, m_lang string, m_topic string, tokens bigint")
 
 
-def ipf(targets):
-    w = {c[:3]: float(c[3]) for c in CELLS}
-    for _ in range(mixing.ROUNDS):
-        for axis in range(3):
-            for v in {c[axis] for c in CELLS}:
-                s = sum(x for k, x in w.items() if k[axis] == v)
-                for k in w:
-                    if k[axis] == v:
-                        w[k] *= targets[axis].get(v, 0.0) / s if s else 1.0
-    return w
+def shares(axis, cells, given=None):
+    seen = {c[axis] for c in cells}
+    s = {v: given.get(v, 0.0) if given else sum(c[3] for c in cells if c[axis] == v) ** mixing.POWER for v in seen}
+    return {v: x / sum(s.values()) for v, x in s.items()}
 
 
-def shares(axis, power):
-    s = {v: sum(c[3] for c in CELLS if c[axis] == v) ** power for v in {c[axis] for c in CELLS}}
-    return {v: x / sum(s.values()) for v, x in s.items()}
+def fitted(cells, given, budget, rounds=mixing.ROUNDS):
+    """Of one budget, each cell's part and the greatest miss, by brute force: a factor a value."""
+    want = [shares(i, cells, given.get(m)) for i, m in enumerate(("source", "lang", "topic"))]
+    goal = budget * sum(c[3] for c in cells)
+    factor = [dict.fromkeys(w, 1.0) for w in want]
+    part = lambda c: min(float(c[3]), c[3] * budget * factor[0][c[0]] * factor[1][c[1]] * factor[2][c[2]])
+    total = lambda i, v: sum(part(c) for c in cells if c[i] == v)
+    for _ in range(rounds):
+        for i in range(3):
+            for v, w in want[i].items():
+                have = total(i, v)
+                factor[i][v] = min(1e100, factor[i][v] * w * goal / have) if have else 0.0
+    whole = sum(map(part, cells))
+    miss = max(abs(total(i, v) / whole - w) / w for i in range(3) for v, w in want[i].items() if w)
+    return {c[:3]: part(c) for c in cells}, miss
+
+
+def best_fit(cells, given, budget):
+    fits = [fitted(cells, given, budget * k / mixing.STEPS) for k in range(1, mixing.STEPS + 1)]
+    best = min(range(mixing.STEPS), key=lambda k: (max(round(fits[k][1], 6), mixing.CLOSE), -k))
+    return {k: x / next(c[3] for c in cells if c[:3] == k) for k, x in fits[best][0].items()}
+
+
+GIVEN = {"source": {"s1": 1.0, "s2": 1.0, "(none)": 0.02, "gone": 9.0}, "lang": {"en": 0.7, "fr": 0.3}}
+
+
+@pytest.mark.parametrize("given,held,budget", [({}, mixing.HELD, 0.5), ({}, 0, 0.5), (GIVEN, mixing.HELD, 0.9), (GIVEN, mixing.HELD, 0.02)])
+def test_raking_against_brute_force(spark, monkeypatch, given, held, budget):
+    if not held:
+        monkeypatch.setattr(mixing, "STEPS", 5)
+    got = mixing.rake(cells(spark), given, held=held, budget=budget).collect()
+    want = best_fit(CELLS, given, budget)
+    assert {(r["m_source"], r["m_lang"], r["m_topic"]): r["p"] for r in got} == pytest.approx(want, rel=1e-9, abs=1e-12)
 
 
-@pytest.mark.parametrize("given", [{}, {"source": {"s1": 1.0, "s2": 3.0, "gone": 9.0}, "lang": {"en": 0.5, "fr": 0.5}}])
-@pytest.mark.parametrize("held", [mixing.HELD, 0])
-def test_raking_on_the_driver_and_in_the_cluster(spark, given, held):
-    if held == 0 and given:
-        pytest.skip("once is enough")
-    targets = [shares(i, mixing.POWER) for i in range(3)]
-    for i, m in enumerate(("source", "lang")):
-        if m in given:
-            seen = {v: given[m].get(v, 0.0) for v in {c[i] for c in CELLS}}
-            targets[i] = {v: x / sum(seen.values()) for v, x in seen.items()}
-    want = ipf(targets)
-    rounds = mixing.ROUNDS
-    got = {(r["m_source"], r["m_lang"], r["m_topic"]): (r["weight"], r["p"]) for r in mixing.rake(cells(spark), given, rounds, held=held).collect()}
-    p = scaled(want, mixing.BUDGET)
-    for c in CELLS:
-        assert got[c[:3]] == (pytest.approx(want[c[:3]]), pytest.approx(p[c[:3]]))
-    assert sum(w for w, _ in got.values()) == pytest.approx(1.0)
-
-
-def scaled(weights, budget):
-    """By bisection: probabilities in proportion to the weight by token, at most 1, that keep the budget's tokens."""
-    lo, hi = 0.0, 1e9
-    for _ in range(200):
-        mid = (lo + hi) / 2
-        kept = sum(c[3] * min(1.0, mid * weights[c[:3]] / c[3]) for c in CELLS)
-        lo, hi = (mid, hi) if kept < budget * sum(c[3] for c in CELLS) else (lo, mid)
-    return {c[:3]: min(1.0, hi * weights[c[:3]] / c[3]) for c in CELLS}
-
-
-@pytest.mark.parametrize("budget", [0.01, 0.5, 0.97, 1.0])
-def test_probabilities_keep_the_budget(spark, budget):
-    got = {(r["m_source"], r["m_lang"], r["m_topic"]): r for r in mixing.rake(cells(spark), budget=budget).collect()}
-    want = scaled({k: r["weight"] for k, r in got.items()}, budget)
-    assert {k: r["p"] for k, r in got.items()} == pytest.approx(want)
-    assert sum(r["p"] * r["tokens"] for r in got.values()) == pytest.approx(budget * 166)
+def test_targets_that_contradict_each_other(spark):
+    """s2 has French only, so half from s2 and a tenth French can't be; values without a target get nothing."""
+    df = spark.createDataFrame([("s1", "en", "a", 100), ("s2", "fr", "a", 100), ("s3", "en", "a", 50)], "m_source string, m_lang string, m_topic string, tokens bigint")
+    got = {r["m_source"]: r["p"] for r in mixing.rake(df, {"source": {"s1": 0.5, "s2": 0.5}, "lang": {"en": 0.9, "fr": 0.1}}).collect()}
+    assert got["s3"] == 0 and 0 < got["s2"] < got["s1"] <= 1
 
 
 def test_sample_of_awkward_rows(spark):
     df = H.docs(spark, H.AWKWARD)
     got = mixing.mixture(df)
-    everything = mixing.with_probability(mixing.pick(df, "doc_id", "text", "source", "lang"), None, None, 30, 0.7, 9, 0.5)
-    want = everything.filter(unit_hash("doc_id", mixing.SALT) < F.col("p"))
-    assert got.count() == want.count() and {r["source"] for r in got.collect()} <= {"(none)", "src"}
+    rows = [(i, t, "src" if n else "(none)", "(none)" if t is not None and len(t) % 2 == 0 else "en") for n, (i, t) in enumerate(H.AWKWARD)]
+    rows[0] = (*rows[0][:2], "(none)", rows[0][3])  # the ids 0 have no source
+    rows = [(i, t, "(none)" if i == 0 else "src", lang) for i, t, _, lang in rows]
+    topic = lambda t: "book" if t is None else "note" if len(t) < 600 else "book"
+    tokens = lambda t: len((t or "").split())
+    by = {}
+    for i, t, source, lang in rows:
+        key = (source, lang, topic(t))
+        by[key] = by.get(key, 0) + tokens(t)
+    p = best_fit([(*k, n) for k, n in by.items() if n], {}, 0.5)
+    unit = lambda i: int(hashlib.md5(f"{'' if i is None else i}{mixing.SALT}".encode()).hexdigest()[:8], 16) / 2**32
+    want = [(i, source, lang, topic(t), tokens(t), round(p[source, lang, topic(t)], 4)) for i, t, source, lang in rows if unit(i) < p.get((source, lang, topic(t)), -1)]
+    assert sorted([(*r[:5], round(r[5], 4)) for r in map(tuple, got.collect())], key=repr) == sorted(want, key=repr) and want
     assert mixing.mixture(df.limit(0)).count() == 0
     assert mixing.mixture(H.docs(spark, [(2, None)])).count() == 0  # no token in any cell
     assert mixing.mix(df).columns == ["doc_id", "text", "lang", "source", "n_chars"]
@@ -200,7 +203,7 @@ def test_expected_shares_at_the_default_budget_are_the_targets(spark, given):
     size = lambda i, j, k: int(2000 * rng.random() ** 3 * (1, 4, 5)[i] * (1, 5, 30)[j] * (1, 3, 9)[k]) + 20
     rows = [(f"s{j}", f"l{i}", f"t{k}", size(i, j, k)) for i in range(3) for j in range(3) for k in range(3)]
     df = spark.createDataFrame(rows, "m_source string, m_lang string, m_topic string, tokens bigint")
-    got = mixing.rake(df, given, bounded=True).toPandas()
+    got = mixing.rake(df, given).toPandas()
     every, got["x"] = got["tokens"].sum(), got["p"] * got["tokens"]
     assert (got["p"] == 1).any() and got["p"].between(0, 1).all() and 0 < got["x"].sum() <= mixing.BUDGET * every * 1.001
     for m in mixing.MARGINS:

@@ -5,21 +5,18 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tickweir.llm._common import DOC_COLUMNS, materialise, pick, ship, unit_hash
+from tickweir.llm._common import DOC_COLUMNS, discard, materialise, pick, ship, unit_hash
 
-ROUNDS = 30
+ROUNDS = 100
 POWER = 0.7  # a marginal's target: its observed share of tokens to this power, normed
 MARGINS = ("m_source", "m_lang", "m_topic")
-BUDGET = 0.5  # share of all tokens that the sample is to hold
-HELD = 1 << 20  # cells that a broadcast may hold; more are joined by a shuffle
+BUDGET = 0.5  # share of all tokens that the sample is to hold, where the targets allow it
+STEPS = 50  # budgets that are tried: so many equal steps up to BUDGET
+CLOSE = 1e-3  # of its target share, the most by which a value's expected share may miss it
+HELD = 1 << 20  # cells that are raked on the driver and broadcast; more are raked and joined in the cluster
 SALT = ":mix"
-CLOSE = 1e-3  # of its target share, the most by which a value's expected share may miss it where cells are bounded
-BOUND_ROUNDS = 300
-STEPS = 14  # halvings of the stretch in which the greatest budget that meets the targets is looked for
-
 
 
 def topic_of(text: str = "text") -> Column:
@@ -53,149 +50,94 @@ def wanted(cells: DataFrame, margin: str, targets: dict[str, dict[str, float]],
     return raw.crossJoin(F.broadcast(total)).select(margin, (F.col("share") / F.col("total")).alias("want"))
 
 
-def rake_held(pdf: pd.DataFrame, want: dict[str, dict[str, float]], rounds: int) -> np.ndarray:
-    """The weights of cells that fit in memory."""
+def rake_held(pdf: pd.DataFrame, want: dict[str, dict[str, float]], rounds: int, budget: float) -> np.ndarray:
+    """p of cells that fit in memory."""
     codes = {m: pd.factorize(pdf[m], sort=True) for m in MARGINS}
     share = {m: np.array([want[m][v] for v in names]) for m, (_, names) in codes.items()}
-    w = pdf["tokens"].to_numpy(float)
+    tokens = pdf["tokens"].to_numpy(float)
+    sums = lambda code, x, n: np.stack([np.bincount(code, r, n) for r in x])
+    goal = budget * np.arange(1, STEPS + 1)[:, None] / STEPS * tokens.sum()
+    q = tokens * goal / max(tokens.sum(), 1.0)
     for _ in range(rounds):
         for m, (code, names) in codes.items():
-            total = np.bincount(code, w, len(names))
-            w = w * (share[m] / np.where(total > 0, total, 1.0))[code]
-    return w
-
-
-def level(code: np.ndarray, q: np.ndarray, tokens: np.ndarray, target: np.ndarray) -> np.ndarray:
-    """By value, the factor f with which its cells' tokens * min(1, f * q) come to the target; with too few tokens, the
-    one that takes them whole."""
-    order = np.lexsort((-q, code))
-    c, t, e = code[order], tokens[order], q[order]
-    first = np.searchsorted(c, np.arange(len(target)))
-    end = np.searchsorted(c, np.arange(len(target)), "right")
-    whole, spent = np.r_[0.0, np.cumsum(t)], np.r_[0.0, np.cumsum(t * e)]
-    left = np.maximum(target[c] - (whole[:-1] - whole[first[c]]), 0.0)
-    rest = spent[end[c]] - spent[:-1]
-    fits = np.flatnonzero((rest > 0) & (e > 0) & (left * e <= rest * (1 + 1e-12)))
-    least = np.full(len(target), np.inf)
-    np.minimum.at(least, c[e > 0], e[e > 0])
-    f = np.where(np.isfinite(least), 1 / np.maximum(least, 1e-300), 0.0)
-    at, k = np.unique(c[fits], return_index=True)
-    f[at] = left[fits[k]] / rest[fits[k]]
-    return f
-
-
-def bound_held(pdf: pd.DataFrame, want: dict[str, dict[str, float]], budget: float) -> np.ndarray:
-    """p of cells that fit in memory, raked with no cell beyond the tokens it has: p is the product of a factor for each
-    of the cell's values, 1 at most, and the expected tokens have the target shares. The sample is expected to hold
-    `budget` of all tokens, or where the targets can't be met with that many, the greatest share that meets them; where
-    no share does, the greatest that misses them by no more than without bounds."""
-    codes = {m: pd.factorize(pdf[m], sort=True) for m in MARGINS}
-    share = {m: np.array([want[m][v] for v in names]) for m, (_, names) in codes.items()}
-    tokens, weight = pdf["tokens"].to_numpy(float), pdf["weight"].to_numpy(float)
-    every = tokens.sum()
-    if not len(tokens) or not weight.sum():
-        return np.zeros(len(tokens))
-
-    def fit(b: float) -> tuple[float, np.ndarray]:
-        """The greatest miss at a budget, and p."""
-        q, miss = weight / tokens * b * every / weight.sum(), np.inf
-        for _ in range(BOUND_ROUNDS):
-            for m, (code, _) in codes.items():
-                q = np.minimum(q * level(code, q, tokens, share[m] * b * every)[code], 1e12)
-            x = tokens * np.minimum(q, 1.0)
-            miss = max(float(np.max(np.abs(np.bincount(code, x, len(share[m])) / (b * every) - share[m]) / np.maximum(share[m], 1e-300) * (share[m] > 0))) for m, (code, _) in codes.items())
-            if miss <= CLOSE / 10:
-                break
-        return miss, np.minimum(q, 1.0)
-
-    miss, p = fit(budget)
-    if miss <= CLOSE:
-        return p
-    free = weight > 0
-    lo, hi = min(budget, float((tokens[free] / weight[free]).min() * weight.sum() / every)), budget
-    miss, p = fit(lo)
-    enough = max(CLOSE, miss)
-    for _ in range(STEPS):
-        mid = float(np.sqrt(lo * hi))
-        miss, tried = fit(mid)
-        if miss <= enough:
-            lo, p = mid, tried
-        else:
-            hi = mid
-    return p
-
-
-def calibrated(raked: DataFrame, budget: float) -> DataFrame:
-    """Adds p to raked cells: in proportion to the weight by token, so that a sample has the fitted shares, scaled to an
-    expected `budget` of all tokens. A cell that would need more tokens than it has is taken whole, and the others make
-    up for it."""
-    each = F.col("weight") / F.col("tokens")
-    by = W.orderBy(F.desc("each"), *MARGINS)  # a row a cell
-    before = by.rowsBetween(W.unboundedPreceding, -1)
-    ends = raked.withColumn("each", each).select(
-        "each", F.row_number().over(by).alias("k"), F.coalesce(F.sum("tokens").over(before), F.lit(0)).alias("whole"), F.coalesce(F.sum("weight").over(before), F.lit(0.0)).alias("spent"),
-        F.sum("tokens").over(W.partitionBy()).alias("all"), F.sum("weight").over(W.partitionBy()).alias("every"),
-    )
-    scale = (F.lit(budget) * F.col("all") - F.col("whole")) / (F.col("every") - F.col("spent"))
-    fits = ends.filter("every - spent > 1e-12").withColumn("scale", scale).filter(F.col("scale") * F.col("each") <= 1.0)
-    chosen = fits.agg(F.coalesce(F.min_by("scale", "k"), F.lit(float("inf"))).alias("scale"))
-    p = F.when(each > 0, F.least(F.lit(1.0), each * F.col("scale"))).otherwise(0.0)
-    return raked.crossJoin(F.broadcast(chosen)).select(*MARGINS, "tokens", "weight", p.alias("p"))
-
-
-def rake(cells: DataFrame, targets: dict[str, dict[str, float]] | None = None, rounds: int = ROUNDS, power: float = POWER, held: int = HELD, budget: float = BUDGET, bounded: bool = False) -> DataFrame:
+            have = sums(code, np.minimum(q, tokens), len(names))
+            q = q * np.divide(share[m] * goal, have, out=np.zeros_like(have), where=have > 0)[:, code]
+    x = np.minimum(q, tokens)
+    whole = np.maximum(x.sum(1, keepdims=True), 1e-300)
+    miss = np.zeros(STEPS)
+    for m, (code, names) in codes.items():
+        off = np.abs(sums(code, x, len(names)) / whole - share[m]) / np.where(share[m] > 0, share[m], np.inf)
+        miss = np.maximum(miss, off.max(1, initial=0.0))
+    best = min(range(STEPS), key=lambda k: (max(round(float(miss[k]), 6), CLOSE), -k))
+    return x[best] / tokens
+
+
+def rake_spread(cells: DataFrame, want: dict[str, DataFrame], rounds: int, budget: float) -> DataFrame:
+    """The same of cells in the cluster: a row a cell and budget, written after each round."""
+    total = cells.agg(F.sum("tokens").alias("all"))
+    steps = cells.sparkSession.range(1, STEPS + 1).select(F.col("id").cast("int").alias("k"))
+    raked = cells.crossJoin(F.broadcast(total)).crossJoin(F.broadcast(steps)).withColumn("goal", F.lit(budget) * F.col("k") / F.lit(STEPS) * F.col("all")).drop("all")
+    raked = materialise(raked.withColumn("q", F.col("tokens") * F.lit(budget) * F.col("k") / F.lit(STEPS)), "raked")
+    x = F.least("q", F.col("tokens").cast("double"))
+    for _ in range(rounds):
+        last, now = raked, raked
+        for m in MARGINS:
+            have = now.groupBy("k", m).agg(F.sum(x).alias("have")).join(want[m], m)
+            now = now.join(have, ["k", m]).withColumn("q", F.when(F.col("have") > 0, F.col("q") * F.col("want") * F.col("goal") / F.col("have")).otherwise(0.0)).drop("have", "want")
+        raked = materialise(now, "raked")
+        discard(last)
+    whole = raked.groupBy("k").agg(F.sum(x).alias("whole"))
+    off = F.when(F.col("want") > 0, F.abs(F.col("x") / F.col("whole") - F.col("want")) / F.col("want")).otherwise(0.0)
+    misses = None
+    for m in MARGINS:
+        one = raked.groupBy("k", m).agg(F.sum(x).alias("x")).join(whole, "k").join(want[m], m).select("k", off.alias("miss"))
+        misses = one if misses is None else misses.unionByName(one)
+    order = F.struct(F.greatest(F.round("miss", 6), F.lit(CLOSE)), -F.col("k"))
+    best = misses.groupBy("k").agg(F.max("miss").alias("miss")).agg(F.min_by("k", order).alias("k"))
+    return raked.join(F.broadcast(best), "k").select(*MARGINS, "tokens", (x / F.col("tokens")).alias("p"))
+
+
+def rake(cells: DataFrame, targets: dict[str, dict[str, float]] | None = None, rounds: int = ROUNDS, power: float = POWER, held: int = HELD, budget: float = BUDGET) -> DataFrame:
     """Iterative proportional fitting of cells (m_source, m_lang, m_topic, tokens): adds p, a document's probability.
 
     Each round scales the cells' weights, at first their tokens, to the target share of every source, then language,
-    then topic. Targets are shares by value (normed over the values that occur; a value without one gets none); a margin
-    without targets gets its observed shares to `power`. Up to `held` cells are raked on the driver, more of them in the
-    cluster; both give the same. With no cells there are no rows.
-
-    p is that of `calibrated`, or with `bounded` that of `bound_held`, which keeps the targets where cells run out. More
-    than `held` cells aren't bounded."""
+    then topic. A cell gives no more tokens than it has: its part of a sum is the lesser of weight and tokens, so that the
+    others make up for it. Targets are shares by value (normed over the values that occur; a value without one gets none);
+    a margin without targets gets its observed shares to `power`. Weights are fitted for each of STEPS budgets up to
+    `budget` of all tokens. The greatest budget is taken whose expected shares miss no target by more than CLOSE of it; where
+    none does so, the one that misses by the least (of equal ones the greatest). p is the cell's part over its tokens.
+
+    Up to `held` cells are raked on the driver, more of them in the cluster; both give the same. Ties decide nothing. With
+    no cells there are no rows."""
     targets = {f"m_{m}": t for m, t in (targets or {}).items()}
     want = {m: wanted(cells, m, targets, power) for m in MARGINS}
-    if cells.count() <= held:
-        pdf = cells.toPandas()
-        shares = {m: dict(map(tuple, want[m].collect())) for m in MARGINS}
-        pdf["weight"] = rake_held(pdf, shares, rounds)
-        spark = cells.sparkSession
-        columns = f"{', '.join(f'{m} string' for m in MARGINS)}, tokens bigint, weight double"
-        if bounded:
-            pdf["p"] = bound_held(pdf, shares, budget)
-            return spark.createDataFrame(pdf, f"{columns}, p double")
-        raked = spark.createDataFrame(pdf, columns)
-    else:
-        raked = cells.withColumn("weight", F.col("tokens").cast("double"))
-        for _ in range(rounds):
-            for m in MARGINS:
-                sums = raked.groupBy(m).agg(F.sum("weight").alias("total")).join(want[m], m)
-                raked = raked.join(sums, m).withColumn("weight", F.when(F.col("total") > 0, F.col("weight") * F.col("want") / F.col("total")).otherwise(0.0)).drop("total", "want")
-            raked = materialise(raked, "raked")
-    return calibrated(raked, budget)
+    if cells.count() > held:
+        return rake_spread(cells, want, rounds, budget)
+    pdf = cells.toPandas()
+    pdf["p"] = rake_held(pdf, {m: dict(map(tuple, want[m].collect())) for m in MARGINS}, rounds, budget) if len(pdf) else 0.0
+    return cells.sparkSession.createDataFrame(pdf, f"{', '.join(f'{m} string' for m in MARGINS)}, tokens bigint, p double")
 
 
-def with_probability(docs: DataFrame, targets: dict[str, dict[str, float]] | None, topic: Column | None, rounds: int, power: float, held: int, budget: float, bounded: bool = True) -> DataFrame:
+def with_probability(docs: DataFrame, targets: dict[str, dict[str, float]] | None, topic: Column | None, rounds: int, power: float, held: int, budget: float) -> DataFrame:
     marked = labelled(docs, topic)
     cells = materialise(marked.select(*MARGINS, token_count().alias("tokens")).groupBy(*MARGINS).agg(F.sum("tokens").alias("tokens")).filter("tokens > 0"), "cells")
-    raked = rake(cells, targets, rounds, power, held, budget, bounded).select(*MARGINS, "p")
+    raked = rake(cells, targets, rounds, power, held, budget).select(*MARGINS, "p")
     small = cells.count() <= held
     return marked.join(F.broadcast(raked) if small else raked, list(MARGINS))
 
 
-def mixture(docs: DataFrame, targets: dict[str, dict[str, float]] | None = None, topic: Column | None = None, rounds: int = ROUNDS, power: float = POWER, held: int = HELD, budget: float = BUDGET, bounded: bool = True) -> DataFrame:
+def mixture(docs: DataFrame, targets: dict[str, dict[str, float]] | None = None, topic: Column | None = None, rounds: int = ROUNDS, power: float = POWER, held: int = HELD, budget: float = BUDGET) -> DataFrame:
     """A sample of the documents whose tokens have the target shares of sources, languages and topics: doc_id, source,
     lang, topic, tokens, p.
 
-    p is the document's probability (see rake and bound_held); without `bounded`, a value whose cells run out misses its
-    target (see calibrated). A document is in the sample if a hash of its doc_id, as a number in [0, 1), is
-    below p, so a run can be repeated and repeated rows share their fate. Statistics are taken over all documents. Topic
-    is given as a column expression or derived from the text's form. Null sources, languages and topics count as the
-    value "(none)"; null ids are hashed as empty ones. A text without tokens, null or empty, is drawn with its cell's
-    probability and weighs nothing; it is left out where its whole cell has no tokens. An empty table gives no rows.
-    Other columns are ignored.
+    p is the document's probability (see rake). A document is in the sample if a hash of its doc_id, as a number in
+    [0, 1), is below p, so a run can be repeated and repeated rows share their fate. Statistics are taken over all
+    documents and whole texts. Topic is given as a column expression or derived from the text's form. Null sources,
+    languages and topics count as the value "(none)"; null ids are hashed as empty ones. A text without tokens, null or
+    empty, is drawn with its cell's probability and weighs nothing; it is left out where its whole cell has no tokens. An
+    empty table gives no rows. Other columns are ignored.
     """
-    docs = with_probability(pick(docs, "doc_id", "text", "source", "lang"), targets, topic, rounds, power, held, budget, bounded)
+    docs = with_probability(pick(docs, "doc_id", "text", "source", "lang"), targets, topic, rounds, power, held, budget)
     drawn = docs.filter(unit_hash("doc_id", SALT) < F.col("p"))
     return drawn.select("doc_id", F.col("m_source").alias("source"), F.col("m_lang").alias("lang"), F.col("m_topic").alias("topic"), token_count().alias("tokens"), F.round("p", 6).alias("p"))
 

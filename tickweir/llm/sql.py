@@ -56,15 +56,16 @@ MIXTURE = """WITH RECURSIVE d AS (SELECT doc_id, coalesce(source, '(none)') AS s
     ts AS (SELECT source, power(sum(tokens)::DOUBLE, 0.7) / sum(power(sum(tokens)::DOUBLE, 0.7)) OVER () AS x FROM c GROUP BY source),
     tl AS (SELECT lang, power(sum(tokens)::DOUBLE, 0.7) / sum(power(sum(tokens)::DOUBLE, 0.7)) OVER () AS y FROM c GROUP BY lang),
     tt AS (SELECT topic, power(sum(tokens)::DOUBLE, 0.7) / sum(power(sum(tokens)::DOUBLE, 0.7)) OVER () AS z FROM c GROUP BY topic),
-    r AS (SELECT 0 AS i, source, lang, topic, tokens, x, y, z, tokens::DOUBLE AS w FROM c JOIN ts USING (source) JOIN tl USING (lang) JOIN tt USING (topic)
+    g AS (SELECT k, 0.5 * k / 50 * t AS goal, 0.5 * k / 50 AS b FROM (SELECT unnest(range(1, 51)) AS k), (SELECT sum(tokens)::DOUBLE AS t FROM c)),
+    r AS (SELECT 0 AS i, k, goal, source, lang, topic, tokens::DOUBLE AS tokens, x, y, z, tokens * b AS q
+          FROM c JOIN ts USING (source) JOIN tl USING (lang) JOIN tt USING (topic), g
         UNION ALL
-        SELECT i + 1, source, lang, topic, tokens, x, y, z, w * z / sum(w) OVER (PARTITION BY topic) FROM (
-            SELECT * REPLACE (w * y / sum(w) OVER (PARTITION BY lang) AS w) FROM (
-                SELECT * REPLACE (w * x / sum(w) OVER (PARTITION BY source) AS w) FROM r WHERE i < 30))),
-    o AS (SELECT *, w / tokens AS e, row_number() OVER v AS k, coalesce(sum(tokens) OVER (v ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS whole,
-        coalesce(sum(w) OVER (v ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS spent, sum(tokens) OVER () AS al, sum(w) OVER () AS ev
-        FROM r WHERE i = 30 WINDOW v AS (ORDER BY w / tokens DESC, source, lang, topic)),
-    q AS (SELECT arg_min((0.5 * al - whole) / (ev - spent), k) AS c FROM o WHERE ev - spent > 1e-12 AND (0.5 * al - whole) / (ev - spent) * e <= 1),
-    p AS (SELECT source, lang, topic, least(1.0::DOUBLE, e * c) AS p FROM o, q)
+        SELECT i + 1, k, goal, source, lang, topic, tokens, x, y, z, q * z * goal / sum(least(q, tokens)) OVER (PARTITION BY k, topic) FROM (
+            SELECT * REPLACE (q * y * goal / sum(least(q, tokens)) OVER (PARTITION BY k, lang) AS q) FROM (
+                SELECT * REPLACE (q * x * goal / sum(least(q, tokens)) OVER (PARTITION BY k, source) AS q) FROM r WHERE i < 100))),
+    o AS (SELECT *, least(q, tokens) AS part, sum(least(q, tokens)) OVER (PARTITION BY k) AS whole FROM r WHERE i = 100),
+    m AS (SELECT k, max(greatest(abs(sx / whole - x) / x, abs(sy / whole - y) / y, abs(sz / whole - z) / z)) AS miss FROM (
+        SELECT k, whole, x, y, z, sum(part) OVER (PARTITION BY k, source) AS sx, sum(part) OVER (PARTITION BY k, lang) AS sy, sum(part) OVER (PARTITION BY k, topic) AS sz FROM o) GROUP BY k),
+    p AS (SELECT source, lang, topic, part / tokens AS p FROM o WHERE k = (SELECT k FROM m ORDER BY greatest(round(miss, 6), 0.001), k DESC LIMIT 1))
     SELECT doc_id, source, lang, topic, CAST(tokens AS BIGINT) AS tokens, round(p, 6) AS p FROM d JOIN p USING (source, lang, topic)
     WHERE ('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '') || ':mix'), 1, 8))::UBIGINT / 4294967296.0 < p"""
