@@ -150,3 +150,89 @@ def test_newton_is_at_the_optimum():
 def test_cut_is_in_the_middle_of_the_gap():
     assert toxicity.cut_of(np.array([0.1, 0.2, 0.8, 0.9]), np.array([0, 0, 1, 1])) == pytest.approx(0.5)
     assert toxicity.cut_of(np.array([0.1, 0.2]), np.array([0, 0])) == 0.5
+
+
+def logit_fit(x, y, penalty):
+    """Newton's method with halving, on rows that end in a 1."""
+    w, ridge = np.zeros(x.shape[1]), np.r_[np.full(x.shape[1] - 1, penalty), 1e-6]
+    loss = lambda v: np.sum(np.logaddexp(0, x @ v) - y * (x @ v)) + np.sum(ridge * v * v) / 2
+    for _ in range(200):
+        p = 1 / (1 + np.exp(-(x @ w)))
+        g = x.T @ (p - y) + ridge * w
+        step, t = np.linalg.solve((x.T * (p * (1 - p))) @ x + np.diag(ridge), g), 1.0
+        while loss(w - t * step) > loss(w) and t > 1e-6:
+            t /= 2
+        w = w - t * step
+    return w
+
+
+def brute_link(train, y, folds, test, dense, test_dense):
+    """Probabilities of `test` by a model of `train`, and of `train` out of fold; documents are sets of features."""
+
+    def model(docs, d, y):
+        pos, n = y.sum(), len(y)
+        z = {}
+        for f in set().union(*docs):
+            has = np.array([f in s for s in docs])
+            share = has.mean()
+            v = (has[y == 1].sum() / pos - share) / math.sqrt((share * (1 - share) + 1 / n) / pos)
+            if has.sum() > 1 and abs(v) >= toxicity.MIN_Z:
+                z[f] = v
+        chosen = sorted(z, key=lambda f: -abs(z[f]))[: toxicity.SELECTED]
+        mean, scale = d.mean(0), np.maximum(d.std(0), 0.01)
+        rows = lambda s, d: np.c_[[[f in x for f in chosen] for x in s], np.clip((d - mean) / scale, -8, 8), np.ones(len(s))].astype(float)
+        w = logit_fit(rows(docs, d), y, toxicity.PENALTY)
+        return lambda s, d: 1 / (1 + np.exp(-rows(s, d) @ w))
+
+    oof = np.zeros(len(y))
+    for f in range(toxicity.FOLDS):
+        own = folds == f
+        oof[own] = model([s for s, o in zip(train, own) if not o], dense[~own], y[~own])([s for s, o in zip(train, own) if o], dense[own])
+    return model(train, dense, y)(test, test_dense), oof
+
+
+def described(text):
+    w, raw = H.words(text), text.encode()
+    share = lambda kind: sum(map(kind, text)) / max(1, len(raw))
+    signs = lambda c: c in "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
+    return {(n, x[:n]) for x in w for n in (99, 4, 5)}, [share(lambda c: "A" <= c <= "Z"), share(signs), share(lambda c: "0" <= c <= "9"), float(bool(w))]
+
+
+def test_the_chain_against_brute_force(spark):
+    """Unhashed features, fitted and scored one by one; and the threshold tried at every step."""
+    rng = np.random.default_rng(7)
+    pairs = [(i, (t.upper() if i % 7 == 0 else t) + (" ###! 99" if i % 11 == 0 else "")) for i, t in noisy(5, 260)]
+    label = {i: (int(i % 11 != 0), int(i % 5 == 0) ^ int(rng.random() < 0.03)) for i, _ in pairs if i < 200}
+    sample = 120
+    table = label_table(spark, [(i, *v) for i, v in label.items()])
+    chain = toxicity.fit(H.docs(spark, pairs), table, sample)
+    drawn = [r[0] for r in H.docs(spark, pairs, clash=False).filter("doc_id < 200").selectExpr("doc_id", "xxhash64(doc_id, xxhash64(text)) as h").orderBy("h").limit(sample).collect()]
+    ids = sorted(drawn)
+    folds = np.arange(sample) % toxicity.FOLDS
+    assert len(ids) == sample
+    parts = {i: described(t) for i, t in pairs}
+    sets, dense = [parts[i][0] for i in ids], np.array([parts[i][1] for i in ids])
+    every, every_dense = [parts[i][0] for i, _ in pairs], np.array([parts[i][1] for i, _ in pairs])
+    junk, junk_oof = brute_link(sets, np.array([1.0 - label[i][0] for i in ids]), folds, every, dense, every_dense)
+    toxic, toxic_oof = brute_link(sets, np.array([float(label[i][1]) for i in ids]), folds, every, np.c_[dense, junk_oof], np.c_[every_dense, junk])
+    own = dict(zip(ids, toxic_oof))
+    p = {i: own.get(i, toxic[k]) for k, (i, _) in enumerate(pairs) if i in label}
+    f1 = lambda c: 2 * sum(label[i][1] for i in p if p[i] >= c) / (sum(x >= c for x in p.values()) + sum(v[1] for v in label.values()))
+    assert f1(chain.cuts[1]) == pytest.approx(max(f1(c) for c in np.arange(0, 1, 1e-3)), abs=0.01)
+    got = {r["doc_id"]: r for r in toxicity.scores(H.docs(spark, pairs), table, sample).collect()}
+    for k, (i, _) in enumerate(pairs):
+        assert got[i]["p_low_quality"] == pytest.approx(junk[k], abs=1e-4) and got[i]["p_toxic"] == pytest.approx(toxic[k], abs=1e-4)
+        assert got[i]["toxic"] == (got[i]["p_toxic"] >= chain.cuts[1])
+
+
+def test_the_sample_is_bounded_in_bytes_and_drawn_from_documents_that_are_there(spark):
+    df, labels = H.docs(spark, noisy(2, 200)), label_table(spark, [(i, 1, int(i % 5 == 0)) for i in range(200)] + [(9999, 1, 1)] * 50)
+    assert 5 < len(toxicity.fit(df, labels, 200, 20_000).out_of_fold["toxic"]) < 60
+    assert len(toxicity.fit(df, labels, 200).out_of_fold["toxic"]) == 200
+
+
+def test_scores_of_a_very_long_text(spark):
+    long = " ".join(["the river runs slowly"] * 40_000)
+    got = {r["doc_id"]: r["score"] for r in quality.quality(H.docs(spark, [(1, long), (2, long[: len(long) // 2])]), label_table(spark, [(1, 1, 0)])).collect()}
+    want = dict(ratios([(1, long), (2, long[: len(long) // 2])], {1}))
+    assert got == pytest.approx(want, abs=1e-9)

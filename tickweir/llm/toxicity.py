@@ -6,14 +6,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
-from tickweir.llm._common import DOC_COLUMNS, pick, ship
+from tickweir.llm._common import discard, DOC_COLUMNS, materialise, pick, ship
 from tickweir.llm._text import blocks, buffers, BYTE_A, mix, MULT_A, Pair, powers, U64, Words
 
 BITS = 18  # hashed features: words and their first 4 and 5 bytes
-SAMPLE = 6000  # labelled documents that the models are fitted on
+SAMPLE = 6000  # labelled documents that the models are fitted on, at most
+SAMPLE_BYTES = 64 << 20  # of text in them, at most
+HELD = 4 << 20  # label rows that a broadcast may hold; more are joined by a shuffle
+CUT = 1e-4  # thresholds are multiples of it
 SELECTED = 256  # hashed features of a model, those whose association with the category is strongest
 MIN_Z = 4.5  # standard errors of the association that a feature must have, so that none is there by chance
 FOLDS = 3
@@ -172,31 +176,73 @@ class Chain:
         return out, worded
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Chain:
-    """Fit the chain low quality, toxic on at most `sample` labelled documents, drawn by a hash of their id."""
-    rows = (
-        pick(labels, "doc_id", "quality", "toxic").filter("doc_id is not null and quality is not null and toxic is not null")
-        .groupBy("doc_id").agg((F.lit(1) - F.min("quality")).alias("junk"), F.max("toxic").alias("toxic"))
-        .orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    )
-    texts = pick(docs, "doc_id", "text").filter("text is not null")
-    got = texts.join(F.broadcast(rows), "doc_id").select("doc_id", "text", "junk", "toxic").toArrow()
-    got = got.sort_by([("doc_id", "ascending"), ("text", "ascending")]).combine_chunks()
+def labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The documents with a text and labels, written once: doc_id, text, key (the text's hash), junk, toxic."""
+    known = pick(labels, "doc_id", "quality", "toxic").filter("doc_id is not null and quality is not null and toxic is not null")
+    known = known.groupBy("doc_id").agg((F.lit(1) - F.min("quality")).alias("junk"), F.max("toxic").alias("toxic"))
+    small = known.count() <= HELD
+    texts = pick(docs, "doc_id", "text").filter("text is not null and doc_id is not null")
+    return materialise(texts.join(F.broadcast(known) if small else known, "doc_id").select("doc_id", "text", F.xxhash64("text").alias("key"), "junk", "toxic"), "labelled")
+
+
+def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, most: int = SAMPLE_BYTES) -> Chain:
+    """Fit the chain low quality, toxic on at most `sample` labelled documents of at most `most` bytes of text, drawn by a
+    hash of id and text; repeated rows count once. The threshold of toxic is the multiple of CUT with the best F1 over
+    all labelled documents, those of the sample by their out-of-fold probabilities; of several, the middle."""
+    known = labelled(docs, labels)
+    by = ["hash", "doc_id", "key"]
+    drawn = known.select("doc_id", "key", F.xxhash64("doc_id", "key").alias("hash"), F.octet_length("text").alias("bytes")).distinct().orderBy(*by).limit(sample)
+    upto = F.sum("bytes").over(W.orderBy(*by).rowsBetween(W.unboundedPreceding, 0))  # over the sample alone
+    drawn = drawn.withColumn("upto", upto).filter(F.col("upto") <= most).select("doc_id", "key")
+    got = known.join(F.broadcast(drawn), ["doc_id", "key"]).dropDuplicates(["doc_id", "key"]).select("doc_id", "key", "text", "junk", "toxic").toArrow()
+    got = got.sort_by([("doc_id", "ascending"), ("key", "ascending")]).combine_chunks()
     col = got["text"].combine_chunks() if got.num_rows else pa.array([], pa.string())
-    return Chain(col, {k: got[k].to_numpy() if got.num_rows else np.zeros(0) for k in ("junk", "toxic")})
+    chain = Chain(col, {k: got[k].to_numpy() if got.num_rows else np.zeros(0) for k in ("junk", "toxic")})
+    if got.num_rows:
+        chain.cuts[1] = threshold(known, chain, got.select(["doc_id", "key"]))
+    discard(known)
+    return chain
+
+
+def threshold(known: DataFrame, chain: Chain, sampled: pa.Table) -> float:
+    """See fit."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            p, worded = chain.score(batch.column(2))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], batch.column(3), pa.array(np.where(worded, p[:, 1], 0.0))], ["doc_id", "key", "toxic", "p"])
+
+    spark = known.sparkSession
+    own = spark.createDataFrame(sampled.append_column("own", pa.array(chain.out_of_fold["toxic"])))
+    scored = known.select("doc_id", "key", "text", F.col("toxic").cast("int")).mapInArrow(work, "doc_id bigint, key bigint, toxic int, p double")
+    p = F.coalesce("own", "p")
+    bins = scored.join(F.broadcast(own), ["doc_id", "key"], "left").groupBy(F.floor(p / CUT).alias("bin")).agg(F.count(F.lit(1)).alias("n"), F.sum("toxic").alias("y"))
+    return best_f1(sorted(map(tuple, bins.collect())))  # as many as bins
+
+
+def best_f1(bins: list[tuple[int, int, int]]) -> float:
+    """(bin, documents, toxic ones) in order to the threshold with the best F1, the middle of the stretch that shares it."""
+    k, n, y = (np.array(x, float) for x in zip(*bins))
+    total = y.sum()
+    if not 0 < total < n.sum():
+        return 0.5
+    found, right = np.cumsum(n[::-1])[::-1], np.cumsum(y[::-1])[::-1]
+    i = int(np.argmax(2 * right / (found + total)))
+    return float(k[i] + (k[i - 1] + 1 if i else 0)) / 2 * CUT
 
 
 def scores(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
     """doc_id, p_low_quality, p_toxic and toxic of every document.
 
     Linear models over hashed words and word beginnings, chained: the toxicity model has the probability of low quality
-    as a feature, in training out of fold. They are fitted on at most `sample` labelled documents (fixed by a hash of the
-    id), the threshold on their out-of-fold probabilities. Every document is scored whole; a feature counts once, so
-    that a long text's length alone decides nothing.
+    as a feature, in training out of fold. They are fitted on a bounded sample, the threshold is set on all labelled
+    documents (see fit). Every document is scored whole, however long; a feature counts once, so that a text's length
+    alone decides nothing.
 
     A null, empty or wordless text is never toxic and has null probabilities. Repeated rows and null ids are scored as
-    any. Without labels nothing is toxic and probabilities are 0. Repeated labels of an id count as the worst of them.
-    Other columns are ignored.
+    any. Without labels nothing is toxic and probabilities are 0. Repeated labels of an id count as the worst of them; a
+    label with a null in any column, or of no document, counts for nothing. A probability equal to the threshold is toxic.
+    An empty table gives no rows. Other columns are ignored.
     """
     chain = fit(docs, labels, sample)
 
@@ -215,7 +261,8 @@ def score_batch(chain: Chain, batch: pa.RecordBatch) -> pa.RecordBatch:
 
 
 def reject_toxic(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
-    """The documents that `scores` doesn't call toxic, with the columns of documents."""
+    """The documents that `scores` doesn't call toxic, with the columns of documents; null and empty texts and null ids
+    stay, and repeated rows share their fate. An empty table gives no rows."""
     docs = pick(docs, *DOC_COLUMNS)
     chain = fit(docs, labels, sample)
 
