@@ -296,7 +296,8 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, margin: float
     brought together and verified on the whole texts. Every document is a query. Bands of 4 of 124 registers find a pair
     at the threshold with a probability of 0.985.
 
-    Words are runs of letters and digits, lower-cased; texts of the same words are duplicates whatever lies between. A
+    Words are runs of letters and digits, lower-cased; texts of the same words are duplicates whatever lies between, and
+    texts of any length are read whole. A pair at just the threshold is one of near duplicates. A
     text without words, null or empty, is in no group, nor is a null doc_id. Repeated rows are duplicates of each other:
     their doc_id appears as often as its rows. A doc_id with several texts may be in several groups. An empty table
     gives no rows. Other columns are ignored.
@@ -312,8 +313,7 @@ def members_of(docs: DataFrame, threshold: float, margin: float) -> DataFrame:
     sketched = docs.mapInArrow(sketch, f"doc_id bigint, {NODE}")
     nodes = materialise(sketched.groupBy("node").agg(F.sort_array(F.collect_list("doc_id")).alias("ids"), F.first("sketch").alias("sketch"), F.first("n").alias("n")), "nodes")
     rows = nodes.select("node", "sketch").mapInArrow(bands, "band bigint, node binary")
-    by_band = rows.groupBy("band").agg(F.collect_list("node").alias("nodes")).filter(F.size("nodes") > 1)
-    shared = by_band.select("band", F.explode("nodes").alias("node"))
+    shared = rows.withColumn("size", F.count(F.lit(1)).over(W.partitionBy("band"))).filter("size > 1").select("band", "node")
     least = threshold - margin
     ordered = shared.join(nodes.select("node", "sketch", "n"), "node").select("band", "node", "sketch", "n").repartition(parts, "band").sortWithinPartitions("band", "node")
     comp = components(ordered.mapInArrow(lambda it: bucket_edges(it, least), "src binary, dst binary"))
