@@ -130,3 +130,38 @@ def leaks(text, items, n=8, least=5):
         grams = {tuple(g[a : a + size]) for a in range(len(g) - size + 1)}
         out += [(a, size, i) for a in range(len(w) - size + 1) if tuple(w[a : a + size]) in grams]
     return out
+
+
+def shares(axis, cells, power, given=None):
+    """The target shares of one of a cell's values (source, lang, topic, tokens)."""
+    seen = {c[axis] for c in cells}
+    s = {v: given.get(v, 0.0) if given else sum(c[3] for c in cells if c[axis] == v) ** power for v in seen}
+    return {v: x / sum(s.values()) for v, x in s.items()}
+
+
+def fitted(cells, want, budget, rounds):
+    """Of one budget, each cell's part and the greatest miss, by brute force: a factor a value."""
+    goal = budget * sum(c[3] for c in cells)
+    factor = [dict.fromkeys(w, 1.0) for w in want]
+    part = lambda c: min(float(c[3]), c[3] * budget * factor[0][c[0]] * factor[1][c[1]] * factor[2][c[2]])
+
+    def totals(i):
+        out = dict.fromkeys(want[i], 0.0)
+        for c in cells:
+            out[c[i]] += part(c)
+        return out
+
+    for _ in range(rounds):
+        for i in range(3):
+            for v, have in totals(i).items():
+                factor[i][v] = min(1e100, factor[i][v] * want[i][v] * goal / have) if have else 0.0
+    whole = sum(map(part, cells))
+    miss = max(abs(have / whole - want[i][v]) / want[i][v] for i in range(3) for v, have in totals(i).items() if want[i][v])
+    return {c[:3]: part(c) / c[3] for c in cells}, miss
+
+
+def best_fit(cells, budget, steps, rounds, close, power, given=None):
+    """Each cell's probability."""
+    want = [shares(i, cells, power, (given or {}).get(m)) for i, m in enumerate(("source", "lang", "topic"))]
+    fits = [fitted(cells, want, budget * k / steps, rounds) for k in range(1, steps + 1)]
+    return fits[min(range(steps), key=lambda k: (max(round(fits[k][1], 6), close), -k))][0]

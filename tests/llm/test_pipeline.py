@@ -1,6 +1,7 @@
 """The pipeline against a brute-force version of every stage."""
 
 import hashlib
+from pathlib import Path
 
 import pytest
 
@@ -8,6 +9,7 @@ import corpus_pipeline
 from tests.conftest import DATA
 from tests.llm import helpers as H
 from tickweir.llm import decontam, mixing, setsketch, toxicity
+from tickweir.llm._common import shared_dir
 
 DIR = f"{DATA}/sf0.001"
 
@@ -47,12 +49,15 @@ def leaks(pairs, items):
     return out
 
 
+def topic(t):
+    return "legal" if "icense" in t else "contact" if "@" in t else "table" if " | " in t else "note" if len(t) < 600 else "article" if len(t) < 4000 else "book"
+
+
 def drawn(rows, raked):
     out = []
     for i, t, source, lang in rows:
-        topic = "legal" if "icense" in t else "contact" if "@" in t else "table" if " | " in t else "note" if len(t) < 600 else "article" if len(t) < 4000 else "book"
         u = int(hashlib.md5(f"{i}{mixing.SALT}".encode()).hexdigest()[:8], 16) / 2**32
-        if u < raked.get((source, lang, topic), -1):
+        if u < raked.get((source, lang, topic(t)), -1):
             out.append((i, t))
     return out
 
@@ -65,28 +70,52 @@ def documents(spark):
 def test_run_against_brute_force(spark, documents):
     rows = documents.collect()
     meta = {r["doc_id"]: (r["source"], r["lang"]) for r in rows}
-    chain = toxicity.fit(documents, spark.read.parquet(f"{DIR}/labels.parquet"))
-    import pyarrow as pa
-
-    p, worded = chain.score(pa.array([r["text"] for r in rows]))
-    pairs = [(r["doc_id"], r["text"]) for r, x, w in zip(rows, p, worded) if not (w and x[1] >= chain.cuts[1])]
+    scored = toxicity.scores(documents, spark.read.parquet(f"{DIR}/labels.parquet"))  # held against brute force in its own test
+    toxic = {r["doc_id"] for r in scored.filter("toxic").collect()}
+    pairs = [(r["doc_id"], r["text"]) for r in rows if r["doc_id"] not in toxic]
     assert 0 < len(rows) - len(pairs) < 40
     items = [(r["item_id"], r["text"]) for r in spark.read.parquet(f"{DIR}/benchmark.parquet").collect()]
     for stage in (lines, near, lambda x: leaks(x, items)):
         before = len(pairs), sum(len(t) for _, t in pairs)
         pairs = stage(pairs)
         assert (len(pairs), sum(len(t) for _, t in pairs)) < before
-    df = spark.createDataFrame([(i, t, meta[i][1], meta[i][0], len(t)) for i, t in pairs], H.DOCS)
-    raked = mixing.with_probability(df, None, None, mixing.ROUNDS, mixing.POWER, mixing.HELD, mixing.BUDGET).select("m_source", "m_lang", "m_topic", "p").distinct()
-    want = drawn([(i, t, *meta[i]) for i, t in pairs], {tuple(r[:3]): r[3] for r in raked.collect()})
+    cells = {}
+    for i, t in pairs:
+        key = (*meta[i], topic(t))
+        cells[key] = cells.get(key, 0) + len(t.split())
+    raked = H.best_fit([(*k, n) for k, n in cells.items() if n], mixing.BUDGET, mixing.STEPS, mixing.ROUNDS, mixing.CLOSE, mixing.POWER)
+    want = drawn([(i, t, *meta[i]) for i, t in pairs], raked)
+    shared = lambda: {p.name for p in Path(shared_dir(spark, "x").removeprefix("file:")).parent.iterdir()}
+    before = shared()
     got = [(r["doc_id"], r["text"]) for r in corpus_pipeline.run(spark, DIR).collect()]
+    assert [n.split("-")[0] for n in shared() - before] == ["pipeline"]
     assert sorted(got) == sorted(want) and got
 
 
-def test_stages_take_awkward_rows(spark, documents):
+def test_stages_take_awkward_rows(spark):
+    """Nulls in every column, empty and long texts, ties, repeated rows and clashing columns, stage by stage."""
     df = H.docs(spark, H.AWKWARD)
-    for _, stage in corpus_pipeline.STAGES:
+    rows = sorted(H.AWKWARD, key=repr)
+    ids = lambda out: sorted((r["doc_id"] for r in out.collect()), key=repr)
+    want = {
+        "toxicity": [i for i, _ in rows],
+        "line dedup": sorted((i for i, t in H.AWKWARD if (i, t) != (8, H.LONG)), key=repr),
+        "near-duplicate removal": sorted([None, None, 0, 2, 3, 4, 5, 7, 9], key=repr),
+        "decontamination": [i for i, _ in rows],
+    }
+    for name, stage in corpus_pipeline.STAGES:
         out = stage(spark, df, DIR)
-        assert out.columns == ["doc_id", "text", "lang", "source", "n_chars"] and out.count() <= len(H.AWKWARD)
+        assert out.columns == ["doc_id", "text", "lang", "source", "n_chars"]
         assert stage(spark, df.limit(0), DIR).count() == 0
-    assert [n for n, _ in corpus_pipeline.STAGES][0] == "toxicity" and len(corpus_pipeline.STAGES) == 5
+        if name in want:
+            assert ids(out) == want[name], name
+        else:
+            drawn = ids(out)
+            assert all(drawn.count(i) in (0, [k for k, _ in H.AWKWARD].count(i)) for i in drawn if i == 0)
+    assert [n for n, _ in corpus_pipeline.STAGES] == [*want, "mixing"]
+
+
+def test_a_pipeline_of_nothing(spark, tmp_path):
+    for name in ("documents", "labels", "benchmark"):
+        spark.read.parquet(f"{DIR}/{name}.parquet").limit(0).write.parquet(f"{tmp_path}/{name}.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0

@@ -117,33 +117,8 @@ def cells(spark):
     return spark.createDataFrame(CELLS, "m_source string, m_lang string, m_topic string, tokens bigint")
 
 
-def shares(axis, cells, given=None):
-    seen = {c[axis] for c in cells}
-    s = {v: given.get(v, 0.0) if given else sum(c[3] for c in cells if c[axis] == v) ** mixing.POWER for v in seen}
-    return {v: x / sum(s.values()) for v, x in s.items()}
-
-
-def fitted(cells, given, budget, rounds=mixing.ROUNDS):
-    """Of one budget, each cell's part and the greatest miss, by brute force: a factor a value."""
-    want = [shares(i, cells, given.get(m)) for i, m in enumerate(("source", "lang", "topic"))]
-    goal = budget * sum(c[3] for c in cells)
-    factor = [dict.fromkeys(w, 1.0) for w in want]
-    part = lambda c: min(float(c[3]), c[3] * budget * factor[0][c[0]] * factor[1][c[1]] * factor[2][c[2]])
-    total = lambda i, v: sum(part(c) for c in cells if c[i] == v)
-    for _ in range(rounds):
-        for i in range(3):
-            for v, w in want[i].items():
-                have = total(i, v)
-                factor[i][v] = min(1e100, factor[i][v] * w * goal / have) if have else 0.0
-    whole = sum(map(part, cells))
-    miss = max(abs(total(i, v) / whole - w) / w for i in range(3) for v, w in want[i].items() if w)
-    return {c[:3]: part(c) for c in cells}, miss
-
-
 def best_fit(cells, given, budget):
-    fits = [fitted(cells, given, budget * k / mixing.STEPS) for k in range(1, mixing.STEPS + 1)]
-    best = min(range(mixing.STEPS), key=lambda k: (max(round(fits[k][1], 6), mixing.CLOSE), -k))
-    return {k: x / next(c[3] for c in cells if c[:3] == k) for k, x in fits[best][0].items()}
+    return H.best_fit(cells, budget, mixing.STEPS, mixing.ROUNDS, mixing.CLOSE, mixing.POWER, given)
 
 
 GIVEN = {"source": {"s1": 1.0, "s2": 1.0, "(none)": 0.02, "gone": 9.0}, "lang": {"en": 0.7, "fr": 0.3}}
