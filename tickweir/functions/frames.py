@@ -50,24 +50,21 @@ def window_sums(df: DataFrame, values: dict[str, Column], seconds: tuple[float,
     as 0 in sums. A sum of zeros is exactly 0, whatever came before."""
     v = {n: f"_v_{n}" for n in values}
     df = df.withColumns({v[n]: or_zero(x) for n, x in values.items()})
-    upto = times().rangeBetween(ALL, 0)
-    run = {f"_p_{n}": F.sum(c).over(upto) for n, c in v.items()} | {f"_k_{n}": F.count_if(F.col(c) != 0).over(upto) for n, c in v.items()}
-    df = df.withColumns(run | {"_c": F.count("*").over(upto)})
+    over = "OVER (PARTITION BY market_id ORDER BY timestamp_ns RANGE BETWEEN UNBOUNDED PRECEDING AND {})"  # as text: fewer calls to the JVM
+    upto = over.format("CURRENT ROW")
+    run = {f"_p_{n}": F.expr(f"sum({c}) {upto}") for n, c in v.items()} | {f"_k_{n}": F.expr(f"count_if({c} != 0) {upto}") for n, c in v.items()}
+    df = df.withColumns(run | {"_c": F.expr(f"count(*) {upto}")})
     ends, names = {}, ["_c", *run]
     for i, s in enumerate(seconds):
-        frame = times().rangeBetween(ALL, nanos(s) if forward else -nanos(s))
-        ends |= {f"{n}_{i}": F.last(n).over(frame) for n in names}
+        frame = over.format(f"{nanos(s)}L {'FOLLOWING' if forward else 'PRECEDING'}")
+        ends |= {f"{n}_{i}": F.expr(f"last({n}) {frame}") for n in names}
     df = df.withColumns(ends)
-
-    def between(n: str, i: int) -> Column:
-        far = F.coalesce(F.col(f"{n}_{i}"), F.lit(0))
-        return far - F.col(n) if forward else F.col(n) - far
-
+    between = lambda n, i: f"coalesce({n}_{i}, 0) - {n}" if forward else f"{n} - coalesce({n}_{i}, 0)"
     out = {}
     for i in range(len(seconds)):
-        out[f"count_{i}"] = between("_c", i)
+        out[f"count_{i}"] = F.expr(between("_c", i))
         for n in values:
-            out[f"sum_{n}_{i}"] = F.when(between(f"_k_{n}", i) > 0, between(f"_p_{n}", i)).otherwise(0.0)
+            out[f"sum_{n}_{i}"] = F.expr(f"CASE WHEN {between(f'_k_{n}', i)} > 0 THEN {between(f'_p_{n}', i)} ELSE 0D END")
     return df.withColumns(out).drop(*v.values(), *names, *ends)
 
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tickweir.functions.expr import at, dot, list_sum, ratio, total
+from tickweir.functions.expr import at, dot, list_sum, ratio
 from tickweir.functions.frames import rows
 from tickweir.schema import LADDERS, LEVELS, QUOTE, TICK, require
 
@@ -63,19 +63,18 @@ def add_paper_features(df: DataFrame, levels: int = LEVELS) -> Built:
     return df.withColumns(out), list(out)
 
 
-def on_grid(touch: str, sign: int, tick: float, sized: bool = True) -> Callable[[Column], Column]:
-    """A level's distance from the touch in whole ticks, outward positive; with its size as a struct (o, s)."""
+def on_grid(touch: str, sign: int, tick: float) -> Callable[[Column], Column]:
+    """A level's distance from the touch in whole ticks, outward positive."""
+    return lambda e: F.rint(F.lit(sign) * (e["p"] - F.col(touch)) / F.lit(tick))
 
-    def place(e: Column) -> Column:
-        o = F.rint(F.lit(sign) * (e["p"] - F.col(touch)) / F.lit(tick))
-        return F.struct(o.alias("o"), e["s"].alias("s")) if sized else o
 
-    return place
-
-
-def grid_cell(levels: str, o: int) -> Column:
-    here = F.filter(F.col(levels), lambda e: e["o"] == F.lit(float(o)))
-    return F.aggregate(here, F.lit(0.0), lambda s, e: s + e["s"])
+def grid_cell(side: str, o: int, deep: int = 10) -> Column:
+    """The size at a distance of o ticks. The first `deep` levels are picked one by one, in generated code; what an array
+    holds beyond them is folded."""
+    t, s = f"_o_{side}", f"_s_{side}"
+    here = " + ".join(f"CASE WHEN get({t}, {k}) = {o}D THEN get({s}, {k}) ELSE 0D END" for k in range(deep))
+    more = f"aggregate(slice(arrays_zip({t}, {s}), {deep + 1}, 1000000000), 0D, (a, e) -> a + CASE WHEN e.{t} = {o}D THEN e.{s} ELSE 0D END)"
+    return F.expr(f"coalesce(CASE WHEN size({t}) > {deep} THEN {here} + {more} ELSE {here} END, 0D)")
 
 
 def add_grid_features(df: DataFrame, *, normalize: bool = True, k: int = 20, tick: float = TICK) -> Built:
@@ -84,19 +83,14 @@ def add_grid_features(df: DataFrame, *, normalize: bool = True, k: int = 20, tic
     grids = {}
     for side, px, sz, touch, sign in SIDES:
         pairs = F.filter(F.arrays_zip(F.col(px).alias("p"), F.col(sz).alias("s")), lambda e: e["p"].isNotNull() & e["s"].isNotNull())
-        ticks = F.transform(pairs, on_grid(touch, sign, tick))
-        grids[f"_g_{side}"] = ticks
+        grids |= {f"_o_{side}": F.transform(pairs, on_grid(touch, sign, tick)), f"_s_{side}": F.transform(pairs, lambda e: e["s"].cast("double"))}
     df = df.withColumns(grids)
-    cells = {
-        f"{side}_grid_{o}": F.coalesce(grid_cell(f"_g_{side}", o), F.lit(0.0))
-        for side, *_ in SIDES
-        for o in range(k)
-    }
+    cells = {f"{side}_grid_{o}": grid_cell(side, o) for side, *_ in SIDES for o in range(k)}
     names = list(cells)
     df = df.withColumns(cells).drop(*grids)
     if normalize:
-        df = df.withColumn("_all", total(F.col(c) for c in names))
-        df = df.withColumns({c: F.coalesce(ratio(F.col(c), F.col("_all")), F.lit(0.0)) for c in names}).drop("_all")
+        df = df.withColumn("_all", F.expr(" + ".join(names)))
+        df = df.withColumns({c: F.expr(f"CASE WHEN _all > 0 THEN {c} / _all ELSE 0D END") for c in names}).drop("_all")
     return df, names
 
 
@@ -106,7 +100,7 @@ def grid_clipped(df: DataFrame, *, k: int = 20, tick: float = TICK) -> DataFrame
     sums = []
     for side, px, sz, touch, sign in SIDES:
         pairs = F.filter(F.arrays_zip(F.col(px).alias("p"), F.col(sz).alias("s")), lambda e: e["p"].isNotNull() & e["s"].isNotNull())
-        off = F.transform(pairs, on_grid(touch, sign, tick, False))
+        off = F.transform(pairs, on_grid(touch, sign, tick))
         sums += [F.sum(F.size(pairs)).alias(f"n_{side}"), F.sum(F.size(F.filter(off, lambda o: (o >= 0) & (o < k)))).alias(f"in_{side}")]
     one = df.agg(*sums)
     rows_ = F.explode(F.array(*[F.struct(F.lit(s).alias("side"), F.col(f"n_{s}").alias("n_levels"), F.coalesce(1 - ratio(F.col(f"in_{s}"), F.col(f"n_{s}")), F.lit(0.0)).alias("clipped")) for s in ("bid", "ask")]))
@@ -125,11 +119,11 @@ def gaps(tick: float) -> dict[str, Column]:
 
 def add_stationary_features(df: DataFrame, levels: int = LEVELS, tick: float = TICK) -> Built:
     """Imbalances, microprices and order flow with every level's price from mid, in ticks, and share of its side."""
-    df = add_ofi(add_microstructure(df))
+    df = add_ofi(add_microstructure(df)).withColumns({f"_all_{side}": list_sum(sz) for side, _, sz, *_ in SIDES})
     out = gaps(tick)
     for side, px, sz, *_ in SIDES:
         for k in range(levels):
-            out[f"{side}_relpx_{k + 1}"] = F.coalesce((at(px, k) - F.col("mid")) / F.lit(tick), F.lit(0.0))
-            out[f"{side}_relsz_{k + 1}"] = F.coalesce(ratio(at(sz, k), list_sum(sz)), F.lit(0.0))
+            out[f"{side}_relpx_{k + 1}"] = F.expr(f"coalesce((get({px}, {k}) - mid) / {tick!r}D, 0D)")
+            out[f"{side}_relsz_{k + 1}"] = F.expr(f"coalesce(CASE WHEN _all_{side} > 0 THEN get({sz}, {k}) / _all_{side} END, 0D)")
     first = [*IMBALANCES, *[f"microprice{n}" for n in ("", "_l3", "_l5")]]
-    return df.withColumns(out), [*first, "ofi", *out]
+    return df.withColumns(out).drop("_all_bid", "_all_ask"), [*first, "ofi", *out]

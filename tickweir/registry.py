@@ -11,7 +11,7 @@ from tickweir.functions.expr import at
 from tickweir.functions.ranks import quantiles
 from tickweir.operators import attribution, base, diagnostics, extended, labels, metrics, models, splits, tiers, windows
 from tickweir.plans import studies
-from tickweir.schema import QUOTE
+from tickweir.schema import QUOTE, tune
 from tickweir.sources import synthetic
 from tickweir.sources.events import book_from_events, trades_from_events
 from tickweir.sources.files import LoadConfig, clean, drop_tail, min_rows
@@ -22,6 +22,7 @@ KEYS = ("market_id", "timestamp_ns", "seq")
 
 
 def book(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tune(spark)
     return book_from_events(spark.read.parquet(f"{sf_dir}/events.parquet"))
 
 
@@ -30,8 +31,12 @@ def tape(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def rounded(x: Column | str, digits: int = 6) -> Column:
-    """Rounded, and never -0. What lies just between two values is moved off the edge first, as engines differ there."""
-    return F.round((F.col(x) if isinstance(x, str) else x) + 1e-9, digits) + 0.0
+    """Rounded, and never -0. What lies just between two values is moved off the edge first, as engines differ there.
+    Plain arithmetic: round() makes a decimal of every value."""
+    scale = float(10**digits)
+    if isinstance(x, str):
+        return F.expr(f"rint((CAST(`{x}` AS DOUBLE) + 1e-9D) * {scale}D) / {scale}D + 0D")
+    return F.rint((x.cast("double") + 1e-9) * scale) / scale + 0.0
 
 
 def tidy(df: DataFrame, cols: list[str], digits: int = 6, keys: tuple[str, ...] = KEYS) -> DataFrame:

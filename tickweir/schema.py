@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 NS = 1_000_000_000
@@ -41,6 +41,13 @@ def require(df: DataFrame, columns: Iterable[str], who: str, hint: str = "") ->
         raise KeyError(f"{who} needs {missing}" + (f"; {hint}" if hint else ""))
 
 
+def tune(spark: SparkSession) -> None:
+    """Where the session has Spark's default, let stages whose one generated method would be too long to be compiled (over
+    8000 bytes of bytecode) run as several short ones."""
+    if spark.conf.get("spark.sql.codegen.hugeMethodLimit") == "65535":
+        spark.conf.set("spark.sql.codegen.hugeMethodLimit", 8000)
+
+
 def label(seconds: float) -> str:
     """A duration as a column suffix: 5s, 0.5s as 0p5s. Durations of different length never share one."""
     return f"{seconds:g}s".replace(".", "p")
