@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tickweir.functions.frames import order_of, rows
+from tickweir.functions.ranks import with_rank
 from tickweir.operators.splits import Scaler, clean_features
 from tickweir.schema import Count, Maybe, nanos, require
 
@@ -64,16 +64,13 @@ def draw(df: DataFrame, seed: int) -> Column:
 
 
 def subsample(df: DataFrame, n: int, seed: int = 0, by: Column | None = None) -> DataFrame:
-    """Exactly n rows, or all where there are no more. Takes the n least hashes: a top-n on every partition, then one of
-    those; no full sort."""
-    return df.withColumn("_h", draw(df, seed) if by is None else by).orderBy("_h", *[c for c in ("market_id", *order_of(df)) if c in df.columns]).limit(n).drop("_h")
+    """Exactly n rows, or all where there are no more: those of the n least hashes, by rank, so that n may grow with the
+    data and no partition has to hold n rows."""
+    keys = tuple(c for c in ("market_id", *order_of(df)) if c in df.columns)
+    return with_rank(df.withColumn("_h", draw(df, seed) if by is None else by), "_h", keys, "_rank").filter(F.col("_rank") < n).drop("_h", "_rank")
 
 
 def balance(df: DataFrame, seed: int = 0, by: Column | None = None) -> DataFrame:
     """All rows of class 1 and -1; of class 0 as many as the larger of these has, those of least hash."""
     n = df.agg(F.count_if(F.col("y_cls") == 1).alias("up"), F.count_if(F.col("y_cls") == -1).alias("down")).first()
     return df.filter("y_cls <> 0").unionByName(subsample(df.filter("y_cls = 0"), max(n["up"], n["down"]), seed, by))
-
-
-def ranked(df: DataFrame, partition: str, by: Column) -> Column:
-    return F.row_number().over(W.partitionBy(partition).orderBy(by))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -173,6 +174,40 @@ def cells_of_grid(s: SparkSession, d: str) -> DataFrame:
     return six(base.grid_clipped(book(s, d), k=3))
 
 
+def majority_rows(s: SparkSession, d: str) -> DataFrame:
+    """Every fourth row, with the most frequent class of the others as certain."""
+    df = labelled(s, d)
+    out = models.majority(df.filter("seq % 4 <> 0"), df.filter("seq % 4 = 0"))
+    return out.select(*KEYS, *[at("probs", k).alias(f"p_{n}") for k, n in enumerate(("down", "flat", "up"))])
+
+
+def vectors(place: Callable, n: str) -> Query:
+    """What a model sees of a window of 8 rows of two features, put in place by `place`."""
+
+    def run(s: SparkSession, d: str) -> DataFrame:
+        w = place(windows.make_windows(labelled(s, d), ["imbalance_l1", "spread_ticks"], seq_len=8))
+        w = w.withColumn("v", vector_to_array("features"))
+        return w.select(*KEYS, F.size("v").alias(n), rounded(F.element_at("v", 1), 5).alias("first"), rounded(F.element_at("v", -2), 5).alias("near"), rounded(F.element_at("v", -1), 5).alias("last"))
+
+    return run
+
+
+def gaps_by_phase(s: SparkSession, d: str) -> DataFrame:
+    per = metrics.regression_metrics(predicted(s, d), by=["market_id"])
+    return six(metrics.phase_gaps(per.select(F.col("market_id").alias("phase"), F.lit("rule").alias("model"), "corr")))
+
+
+def tied(s: SparkSession, d: str) -> DataFrame:
+    """The book with whole seconds for times, so that many rows share one, and a null price in every ninth row."""
+    b = scalars(s, d).withColumn("timestamp_ns", F.expr("timestamp_ns div 60000000000 * 60000000000"))
+    return b.withColumn("microprice", F.when(F.col("seq") % 9 != 0, F.col("microprice")))
+
+
+def history_of_ties(s: SparkSession, d: str) -> DataFrame:
+    df, names = extended.add_history_features(tied(s, d), event_lags=(1,), time_windows_s=(120.0,))
+    return tidy(df, names, 4)
+
+
 def queries() -> dict[str, Query]:
     return {
         "flow_signal": flow_signal,
@@ -215,6 +250,13 @@ def queries() -> dict[str, Query]:
         "reg_metrics": lambda s, d: six(metrics.regression_metrics(predicted(s, d), by=["market_id"])),
         "cls_metrics": lambda s, d: six(metrics.classification_metrics(classed(s, d), by=["market_id"])),
         "majority": lambda s, d: labelled(s, d).groupBy("y_cls").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "y_cls").limit(1),
+        "majority_rows": majority_rows,
+        "persistence": lambda s, d: six(metrics.regression_metrics(models.persistence(labelled(s, d)), by=["market_id"])),
+        "last_step": vectors(models.last_step, "n_features"),
+        "whole_window": vectors(models.whole_window, "n_features"),
+        "top_tier": lambda s, d: tiers.top_tier(book(s, d)).select("seq", "market_id", "act_tier"),
+        "phase_gaps": gaps_by_phase,
+        "history_ties": history_of_ties,
         "fold_means": fold_means,
         "residual_histogram": lambda s, d: diagnostics.residual_histogram(predicted(s, d)),
         "pred_vs_actual": lambda s, d: diagnostics.pred_vs_actual(predicted(s, d), grid=20),

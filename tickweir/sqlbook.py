@@ -260,3 +260,25 @@ SQL["fold_means"] = f"""WITH {", ".join(_PRED)}, fm AS (SELECT market_id, {_REG.
     SELECT 'rule' AS model, round(avg(r2), 6) AS r2, round(avg(corr), 6) AS corr, round(avg(hit_rate), 6) AS hit_rate, round(avg(weighted_hit), 6) AS weighted_hit, CAST(sum(n) AS BIGINT) AS n FROM fm"""
 SQL["feature_groups"] = """SELECT * FROM (VALUES ('ofi', 'ofi'), ('imbalance_l10', 'imbalance'), ('micro_gap_l3', 'book_shape'), ('spread_ticks', 'spread/micro_gap'), ('spread_std_5s', 'spread_dyn'), ('ofi_l2', 'ofi_dynamics'),
     ('vol_5s', 'trade_flow'), ('bid_grid_3', 'grid_bid'), ('pl_obi_1', 'other')) t(feature, grp)"""
+SQL["majority_rows"] = f"""WITH {", ".join(_LABEL)}, mj AS (SELECT y_cls AS c FROM y WHERE seq % 4 <> 0 GROUP BY y_cls ORDER BY count(*) DESC, y_cls LIMIT 1)
+    SELECT market_id, timestamp_ns, seq, (c = -1)::DOUBLE AS p_down, (c = 0)::DOUBLE AS p_flat, (c = 1)::DOUBLE AS p_up FROM y, mj WHERE seq % 4 = 0"""
+SQL["persistence"] = f"""WITH {", ".join(_LABEL)} SELECT market_id, round(1 - sum(y_fwd * y_fwd) / (count(*) * var_pop(y_fwd)), 6) + 0.0 AS r2, 0.0::DOUBLE AS corr, 0.0::DOUBLE AS hit_rate, 0.0::DOUBLE AS weighted_hit, count(*) AS n
+    FROM y GROUP BY market_id"""
+_PAIR = f"""l AS (SELECT *, row_number() OVER w AS rn, lag(imbalance_l1, 7) OVER w AS i8 FROM y WINDOW w AS ({_W}))"""
+
+
+def seen(n: int, first: str) -> str:
+    """Of a window of 8 rows: how many numbers a model is given, the first of them and the last two."""
+    cell = lambda x: f"round({x}::FLOAT::DOUBLE + 1e-9, 5) + 0.0"
+    return f"WITH {', '.join(_LABEL)}, {_PAIR} SELECT market_id, timestamp_ns, seq, {n} AS n_features, {cell(first)} AS first, {cell('imbalance_l1')} AS near, {cell('spread_ticks')} AS last FROM l WHERE rn >= 8"
+
+
+SQL["last_step"], SQL["whole_window"] = seen(2, "imbalance_l1"), seen(16, "i8")
+SQL["top_tier"] = f"WITH {BOOK}, {_ACT}, r AS (SELECT market_id, n_mid_moves / greatest(mins, 1e-9) AS mpm FROM ac WHERE n_mid_moves >= 10), t AS (SELECT *, {tiers('mpm', 'r')}) SELECT seq, market_id, tier AS act_tier FROM b JOIN t USING (market_id) WHERE tier = 2"
+SQL["phase_gaps"] = f"""WITH {", ".join(_PRED)}, fm AS (SELECT market_id AS phase, corr(y_fwd, pred) AS corr FROM p GROUP BY market_id)
+    SELECT phase, 'rule' AS model, round(corr, 6) AS corr, round(corr - lag(corr) OVER (ORDER BY phase), 6) + 0.0 AS gain FROM fm"""
+_TIED = [*BASE, "ti AS (SELECT market_id, seq, timestamp_ns // 60000000000 * 60000000000 AS timestamp_ns, CASE WHEN seq % 9 <> 0 THEN coalesce(microprice, 0) ELSE 0 END AS mp FROM s)"]
+SQL["history_ties"] = f"""WITH {", ".join(_TIED)}, tr2 AS (SELECT *, coalesce(mp - lag(mp) OVER w, 0) AS r, coalesce((mp - lag(mp) OVER w) / 0.01, 0) AS ret_ev_1 FROM ti WINDOW w AS ({_W})),
+    tw AS (SELECT *, arg_max(mp, timestamp_ns * 10000000::HUGEINT + seq) OVER (PARTITION BY market_id ORDER BY timestamp_ns RANGE BETWEEN UNBOUNDED PRECEDING AND 120000000000 PRECEDING) AS old,
+        avg(r * r) OVER (PARTITION BY market_id ORDER BY timestamp_ns RANGE BETWEEN 119999999999 PRECEDING AND CURRENT ROW) AS v FROM tr2)
+    SELECT market_id, timestamp_ns, seq, round(ret_ev_1 + 1e-9, 4) + 0.0 AS ret_ev_1, round((mp - coalesce(old, mp)) / 0.01 + 1e-9, 4) + 0.0 AS ret_roll_120s, round(sqrt(v) / 0.01 + 1e-9, 4) + 0.0 AS rv_120s FROM tw"""
