@@ -72,11 +72,11 @@ def drop_sums(df: DataFrame, values: dict[str, Column], seconds: tuple[float, ..
     return df.drop(*[f"count_{i}" for i in range(len(seconds))], *[f"sum_{n}_{i}" for n in values for i in range(len(seconds))])
 
 
-def value_before(df: DataFrame, c: str, seconds: float) -> Column:
-    """The last value at or before t - seconds, of rows of equal time the one of the greatest seq; the row's own if there
-    is none."""
+def value_before(c: str, seconds: float, numbered: bool = False) -> Column:
+    """The last value at or before t - seconds; of rows of equal time, where they are numbered, the one of the greatest
+    seq. The row's own if there is none."""
     old = times().rangeBetween(ALL, -nanos(seconds))
-    found = F.max_by(F.col(c), F.struct(*order_of(df))) if "seq" in df.columns else F.last(c)
+    found = F.max_by(F.col(c), F.struct("timestamp_ns", "seq")) if numbered else F.last(c)
     return F.coalesce(found.over(old), F.col(c))
 
 

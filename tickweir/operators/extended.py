@@ -44,7 +44,7 @@ def add_history_features(df: DataFrame, *, event_lags: Events = (1, 5, 10), time
     w = rows(df)
     df = df.withColumn("_mp", or_zero(F.col("microprice")))
     lagged = {f"ret_ev_{k}": F.coalesce((F.col("_mp") - F.lag("_mp", k).over(w)) / F.lit(tick), F.lit(0.0)) for k in event_lags}
-    rolled = {f"ret_roll_{label(s)}": (F.col("_mp") - value_before(df, "_mp", s)) / F.lit(tick) for s in time_windows_s}
+    rolled = {f"ret_roll_{label(s)}": (F.col("_mp") - value_before("_mp", s, "seq" in df.columns)) / F.lit(tick) for s in time_windows_s}
     df = df.withColumns(lagged | {"_r": change(df, "_mp")}).withColumns(rolled)
     values = {"r2": F.col("_r") * F.col("_r")}
     df = window_sums(df, values, time_windows_s)
