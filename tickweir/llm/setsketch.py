@@ -363,12 +363,12 @@ def one_of_each(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     docs = pick(docs, *DOC_COLUMNS)
     groups = materialise(members_of(docs, threshold, MARGIN), "groups")
     by = ["doc_id", "node"]
-    gone = groups.filter("not lead").select(*by).distinct()
-    left = docs.mapInArrow(named, "doc_id bigint, text string, lang string, source string, n_chars bigint, node binary").join(gone, by, "left_anti")
-    repeated = groups.filter("lead").groupBy(*by).count().filter("count > 1").select(*by)
-    order = W.partitionBy(*by).orderBy("text", "lang", "source", "n_chars")
-    once = left.join(repeated, by, "left_semi").withColumn("k", F.row_number().over(order)).filter("k = 1")
-    return left.join(repeated, by, "left_anti").select(*DOC_COLUMNS).unionByName(once.select(*DOC_COLUMNS))
+    verdict = groups.groupBy(*by).agg(F.bool_or(~F.col("lead")).alias("gone"), (F.count(F.lit(1)) > 1).alias("repeated"))
+    rows = docs.mapInArrow(named, "doc_id bigint, text string, lang string, source string, n_chars bigint, node binary")
+    left = rows.join(verdict, by, "left").filter(~F.coalesce("gone", F.lit(False)))
+    own = F.when(F.coalesce("repeated", F.lit(False)), 0).otherwise(F.monotonically_increasing_id() + 1)  # no row but a repeated one is ranked with others
+    order = W.partitionBy(*by, "own").orderBy("text", "lang", "source", "n_chars")
+    return left.withColumn("own", own).withColumn("k", F.row_number().over(order)).filter("k = 1").select(*DOC_COLUMNS)
 
 
 ship(__name__)
