@@ -132,10 +132,14 @@ def leaks(text, items, n=8, least=5):
     return out
 
 
-def shares(axis, cells, power, given=None):
+def shares(axis, cells, power, given=None, lift=4.0):
     """The target shares of one of a cell's values (source, lang, topic, tokens)."""
     seen = {c[axis] for c in cells}
-    s = {v: given.get(v, 0.0) if given else sum(c[3] for c in cells if c[axis] == v) ** power for v in seen}
+    tokens = {v: sum(c[3] for c in cells if c[axis] == v) for v in seen}
+    s = {v: given.get(v, 0.0) if given else n**power for v, n in tokens.items()}
+    s = {v: x / sum(s.values()) for v, x in s.items()}
+    if not given:
+        s = {v: min(x, lift * tokens[v] / sum(tokens.values())) for v, x in s.items()}
     return {v: x / sum(s.values()) for v, x in s.items()}
 
 

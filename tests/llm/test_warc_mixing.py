@@ -193,5 +193,13 @@ def test_a_sample_has_targets_that_half_of_the_tokens_cannot_meet(spark):
     assert t["fr"] == 8000 and abs(t["en"] / t["fr"] - 1) < 0.12
 
 
+def test_a_rare_value_does_not_decide_the_budget(spark):
+    """Without LIFT the share of "rare" would be 25 times what there is of it, and the sample a twenty-fifth of the tokens."""
+    rows = [("s1", "en", t, n) for t, n in (("a", 600_000), ("b", 399_990), ("rare", 10))]
+    df = spark.createDataFrame(rows, "m_source string, m_lang string, m_topic string, tokens bigint")
+    got = {r["m_topic"]: r["p"] for r in mixing.rake(df).collect()}
+    assert got == pytest.approx({k[2]: v for k, v in best_fit(rows, {}, 0.5).items()}) and 0.9 < got["rare"] <= 1 and got["a"] > 0.2
+
+
 def test_query_gives_the_rows_of_its_sql(spark, duck):
     same_rows(registry.queries()["op4_mixture"](spark, f"{DATA}/sf0.001"), duck(registry.oracle_sql()["op4_mixture"]))

@@ -12,6 +12,7 @@ from tickweir.llm._common import DOC_COLUMNS, discard, materialise, pick, ship,
 ROUNDS = 100
 POWER = 0.7  # a marginal's target: its observed share of tokens to this power, normed
 MARGINS = ("m_source", "m_lang", "m_topic")
+LIFT = 4.0  # a target that isn't given is at most this many times the observed share, so that no rare value decides the budget
 BUDGET = 0.5  # share of all tokens that the sample is to hold, where the targets allow it
 STEPS = 50  # budgets that are tried: so many equal steps up to BUDGET
 CLOSE = 1e-3  # of its target share, the most by which a value's expected share may miss it
@@ -45,7 +46,9 @@ def wanted(cells: DataFrame, margin: str, targets: dict[str, dict[str, float]],
         given = cells.sparkSession.createDataFrame(list(targets[margin].items()), "k string, share double")
         raw = seen.join(given, seen[margin] == given["k"], "left").select(margin, F.coalesce("share", F.lit(0.0)).alias("share"))
     else:
-        raw = seen.select(margin, F.pow(F.col("t").cast("double"), F.lit(power)).alias("share"))
+        root = F.pow(F.col("t").cast("double"), F.lit(power))
+        sums = seen.agg(F.sum(root).alias("roots"), F.sum(F.col("t").cast("double")).alias("tokens"))
+        raw = seen.crossJoin(F.broadcast(sums)).select(margin, F.least(root / F.col("roots"), F.lit(LIFT) * F.col("t") / F.col("tokens")).alias("share"))
     total = raw.agg(F.sum("share").alias("total"))
     return raw.crossJoin(F.broadcast(total)).select(margin, (F.col("share") / F.col("total")).alias("want"))
 
@@ -103,7 +106,7 @@ def rake(cells: DataFrame, targets: dict[str, dict[str, float]] | None = None, r
     Each round scales the cells' weights, at first their tokens, to the target share of every source, then language,
     then topic. A cell gives no more tokens than it has: its part of a sum is the lesser of weight and tokens, so that the
     others make up for it. Targets are shares by value (normed over the values that occur; a value without one gets none);
-    a margin without targets gets its observed shares to `power`. Weights are fitted for each of STEPS budgets up to
+    a margin without targets gets its observed shares to `power`, none over LIFT times what is observed. Weights are fitted for each of STEPS budgets up to
     `budget` of all tokens. The greatest budget is taken whose expected shares miss no target by more than CLOSE of it; where
     none does so, the one that misses by the least (of equal ones the greatest). p is the cell's part over its tokens.
 

@@ -53,9 +53,9 @@ MIXTURE = """WITH RECURSIVE d AS (SELECT doc_id, coalesce(source, '(none)') AS s
              WHEN length(text) < 600 THEN 'note' WHEN length(text) < 4000 THEN 'article' WHEN text IS NULL THEN 'book' ELSE 'book' END AS topic,
         coalesce(len(regexp_extract_all(text, '[^ \\t\\r\\n]+')), 0) AS tokens FROM documents),
     c AS (SELECT source, lang, topic, sum(tokens) AS tokens FROM d GROUP BY ALL HAVING sum(tokens) > 0),
-    ts AS (SELECT source, power(sum(tokens)::DOUBLE, 0.7) / sum(power(sum(tokens)::DOUBLE, 0.7)) OVER () AS x FROM c GROUP BY source),
-    tl AS (SELECT lang, power(sum(tokens)::DOUBLE, 0.7) / sum(power(sum(tokens)::DOUBLE, 0.7)) OVER () AS y FROM c GROUP BY lang),
-    tt AS (SELECT topic, power(sum(tokens)::DOUBLE, 0.7) / sum(power(sum(tokens)::DOUBLE, 0.7)) OVER () AS z FROM c GROUP BY topic),
+    ts AS (SELECT source, x / sum(x) OVER () AS x FROM (SELECT source, least(power(sum(tokens)::DOUBLE, 0.7) / sum(power(sum(tokens)::DOUBLE, 0.7)) OVER (), 4.0::DOUBLE * sum(tokens) / sum(sum(tokens)::DOUBLE) OVER ()) AS x FROM c GROUP BY source)),
+    tl AS (SELECT lang, y / sum(y) OVER () AS y FROM (SELECT lang, least(power(sum(tokens)::DOUBLE, 0.7) / sum(power(sum(tokens)::DOUBLE, 0.7)) OVER (), 4.0::DOUBLE * sum(tokens) / sum(sum(tokens)::DOUBLE) OVER ()) AS y FROM c GROUP BY lang)),
+    tt AS (SELECT topic, z / sum(z) OVER () AS z FROM (SELECT topic, least(power(sum(tokens)::DOUBLE, 0.7) / sum(power(sum(tokens)::DOUBLE, 0.7)) OVER (), 4.0::DOUBLE * sum(tokens) / sum(sum(tokens)::DOUBLE) OVER ()) AS z FROM c GROUP BY topic)),
     g AS (SELECT k, 0.5 * k / 50 * t AS goal, 0.5 * k / 50 AS b FROM (SELECT unnest(range(1, 51)) AS k), (SELECT sum(tokens)::DOUBLE AS t FROM c)),
     r AS (SELECT 0 AS i, k, goal, source, lang, topic, tokens::DOUBLE AS tokens, x, y, z, tokens * b AS q
           FROM c JOIN ts USING (source) JOIN tl USING (lang) JOIN tt USING (topic), g
