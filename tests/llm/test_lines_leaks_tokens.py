@@ -92,6 +92,12 @@ def test_spans_are_cut_and_documents_go(spark):
     assert decontam.contaminated(left, bench(spark)).count() == 0
 
 
+def test_spans_are_cut_in_one_scan_and_in_many(spark):
+    df = H.docs(spark, LEAKY)
+    one, many = (sorted(map(tuple, decontam.decontaminate(df, bench(spark), held=held).collect()), key=repr) for held in (decontam.HELD, 40))
+    assert one == many and len(one) < len(LEAKY)
+
+
 def test_short_items_in_sql(spark, duck, tmp_path):
     import duckdb
 

@@ -115,6 +115,27 @@ def test_stages_take_awkward_rows(spark):
     assert [n for n, _ in corpus_pipeline.STAGES] == [*want, "mixing"]
 
 
+def python_steps(node):
+    """Of a physical plan: how many Python steps its topmost stage runs at once in a task, and the most of any stage."""
+    name, kids = node.nodeName(), node.children()
+    below = [python_steps(kids.apply(i)) for i in range(kids.size())]
+    most = max((m for _, m in below), default=0)
+    if "Exchange" in name:
+        return 0, most
+    here = [n for n, _ in below] or [0]
+    now = (max(here) if name == "Union" else sum(here)) + ("MapInArrow" in name or "Python" in name or "ExistingRDD" in name)
+    return now, max(now, most)
+
+
+def test_no_task_takes_two_python_workers(spark, documents):
+    """Workers stay with their executor, so the most that a task takes at once is what it holds from then on."""
+    seen = {}
+    for name, stage in corpus_pipeline.STAGES:
+        plan = stage(spark, documents, DIR)._jdf.queryExecution().executedPlan()
+        seen[name] = python_steps(plan.initialPlan() if "AdaptiveSparkPlan" in plan.nodeName() else plan)[1]
+    assert seen == {"toxicity": 1, "line dedup": 0, "near-duplicate removal": 1, "decontamination": 1, "mixing": 0}
+
+
 def test_a_pipeline_of_nothing(spark, tmp_path):
     for name in ("documents", "labels", "benchmark"):
         spark.read.parquet(f"{DIR}/{name}.parquet").limit(0).write.parquet(f"{tmp_path}/{name}.parquet")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -118,7 +119,9 @@ def rake(cells: DataFrame, targets: dict[str, dict[str, float]] | None = None, r
         return rake_spread(cells, want, rounds, budget)
     pdf = cells.toPandas()
     pdf["p"] = rake_held(pdf, {m: dict(map(tuple, want[m].collect())) for m in MARGINS}, rounds, budget) if len(pdf) else 0.0
-    return cells.sparkSession.createDataFrame(pdf, f"{', '.join(f'{m} string' for m in MARGINS)}, tokens bigint, p double")
+    kinds = pa.schema([*[(m, pa.string()) for m in MARGINS], ("tokens", pa.int64()), ("p", pa.float64())])
+    # by Arrow: rows sent as Python objects would be read by Python workers of another kind, kept beside those of mapInArrow
+    return cells.sparkSession.createDataFrame(pa.Table.from_pandas(pdf, kinds, preserve_index=False))
 
 
 def with_probability(docs: DataFrame, targets: dict[str, dict[str, float]] | None, topic: Column | None, rounds: int, power: float, held: int, budget: float) -> DataFrame:
