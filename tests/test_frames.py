@@ -6,11 +6,14 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tickweir.functions.frames import first_at_or_after, value_before, window_sums, with_ewma
+from tickweir.functions import frames
+from tickweir.functions.frames import block_of, first_at_or_after, numbered, time_edges, value_before, window_sums, with_ewma
 from tickweir.functions.ranks import quantiles, with_rank
 from tickweir.operators.base import add_grid_features, add_microstructure, add_ofi, add_scalar_features, add_stationary_features, grid_clipped
 from tickweir.operators.extended import add_activity_spread_features, add_flow_features, add_impact_features, add_perlevel_features, add_smoothed_features, add_trade_features
 from tickweir.operators.labels import add_forward_target, add_sign_label
+from tickweir.operators.tiers import market_activity
+from tickweir.operators.windows import snapshots
 from tickweir.schema import BOOK, NS
 
 S = NS
@@ -68,6 +71,50 @@ def test_first_at_or_after_takes_the_first_of_ties(spark):
             assert (got[m, i]["t"], got[m, i]["px"]) == (want[0], want[2])
 
 
+def most_in_a_task(df):
+    return max(r["count"] for r in df.groupBy(F.spark_partition_id()).count().collect())
+
+
+def test_no_task_holds_a_market(spark, monkeypatch):
+    """Forward times and numbers of one market's rows are found in blocks of time, however many rows it has."""
+    monkeypatch.setattr(frames, "BLOCK", 100, raising=False)
+    df = series(spark, [("a", i * S, i, float(i)) for i in range(4000)])
+    target = add_forward_target(df, price_col="v", horizon_s=500.0)
+    assert target.count() == 3500 and target.filter("y_fwd <> 500").count() == 0 and most_in_a_task(target) < 1000
+    last = snapshots(df, ["v"], seq_len=250)
+    assert last.count() == 3751 and last.agg(F.min("seq")).first()[0] == 249 and most_in_a_task(last) < 1000
+
+
+def test_block_of(spark):
+    for n in (1, 2, 3, 4, 8, 9, 15, 16, 17, 100):
+        edges = [10 * i for i in range(1, n + 1)]
+        df = spark.range(0, 10 * n + 25).select("id", block_of("id", edges).alias("k"))
+        assert {r["id"]: r["k"] for r in df.collect()} == {i: min(n, i // 10) for i in range(10 * n + 25)}
+    late = spark.createDataFrame([(None,)], "t bigint").select(block_of("t", [1, 2, 3]))
+    assert late.first()[0] == 0 and time_edges(series(spark, [])) == []
+
+
+def gappy():
+    """Ties, a market that begins late, one that ends early, one with a long gap and one without a name."""
+    rows = [(m, t, i, float(i % 7)) for m, t, i, _ in tied(120, seed=5)]
+    rows += [("late", (28 + i // 2) * S, i, float(i)) for i in range(9)] + [("early", i * S // 4, i, float(i)) for i in range(9)]
+    return rows + [("gap", t * S, i, float(i)) for i, t in enumerate((0, 1, 29, 29, 40))] + [(None, i * S, i, float(i)) for i in range(30)]
+
+
+@pytest.mark.parametrize("edges", [[7 * S], [S, 2 * S, 3 * S, 8 * S + 1, 20 * S, 28 * S, 35 * S], [i * S // 2 for i in range(1, 60)]])
+def test_blocks_change_nothing(spark, edges):
+    df = series(spark, gappy())
+    key = lambda rows: sorted(rows, key=str)
+    for h in (0.0, 0.5, 5.0, 25.0):
+        assert key(first_at_or_after(df, h, "v", edges).collect()) == key(first_at_or_after(df, h, "v", []).collect())
+    assert key(numbered(df, "n", edges).collect()) == key(numbered(df, "n", []).collect())
+    books = df.withColumn("mid", F.when(F.col("seq") % 11 != 3, F.col("v")))
+    assert key(market_activity(books, edges=edges).collect()) == key(market_activity(books, edges=[]).collect())
+    loose = df.drop("seq")  # the order of ties is open, how many there are isn't
+    count = lambda e: key(numbered(loose, "n", e).filter("n >= 8").groupBy("market_id").count().collect())
+    assert count(edges) == count([]) and first_at_or_after(loose, 5.0, "v", edges).count() == df.count()
+
+
 def ewma(rows, h):
     y, before, out = None, None, {}
     for t, i, x in rows:

@@ -2,6 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tickweir.functions import frames
 from tickweir.operators import attribution, diagnostics, metrics, models
 from tickweir.plans import studies
 from tickweir.sources import synthetic
@@ -130,6 +131,25 @@ def test_staged_attribution_and_feature_sets(spark, planted):
         studies.build_features(planted, "extended+trades", s)
 
 
+def test_staged_attribution_in_blocks_of_time(spark, planted, monkeypatch):
+    s = studies.Settings(horizon_s=5.0, models=("ridge",), tasks=("reg",), **(SMALL | {"n_tiers": 4}))
+    whole = studies.staged_attribution(planted, s, phases="02")["reg"].collect()
+    placed = []
+    run = studies.run_folds
+
+    def watched(p, *args):
+        placed.append([r["count"] for r in p.rows.groupBy(F.spark_partition_id()).count().collect()])
+        return run(p, *args)
+
+    monkeypatch.setattr(studies, "run_folds", watched)
+    monkeypatch.setattr(frames, "BLOCK", planted.count() // 40, raising=False)
+    parted = studies.staged_attribution(planted, s, phases="02")["reg"].collect()
+    assert len(placed) == 2 and all(max(n) < sum(n) / 2 for n in placed)  # the tier is one market
+    assert len(whole) == 4
+    for a, b in zip(whole, parted):
+        assert a[:2] == b[:2] and a["n"] == b["n"] and np.allclose(a[2:], b[2:], atol=1e-9, equal_nan=True)
+
+
 def test_target_study_and_diagnosis(spark, planted):
     s = studies.Settings(base_features_only=True, balance=True, **SMALL)
     t = studies.target_study(planted, s, horizons=(5.0, 10_000.0)).collect()
